@@ -1,5 +1,5 @@
-"""Column expressions built from Spark's own functions."""
+"""SQL expressions over Spark's own functions."""
 
-from quartzline.functions.money import hundredths
+from quartzline.functions.money import exact_total, hundredths, quoted
 
-__all__ = ["hundredths"]
+__all__ = ["exact_total", "hundredths", "quoted"]

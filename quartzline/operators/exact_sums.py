@@ -1,33 +1,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.functions import hundredths
-
-# Each amount, below 2**60 hundredths, is summed in three 20-bit parts. A bigint holds the
-# sum of 2**43 such parts (8.8e12), so no group overflows even with every row of 100 TB in it.
-_PART_BITS = 20
-
-
-def _parts(amount: str) -> list[Column]:
-    low = F.lit((1 << _PART_BITS) - 1)
-    return [
-        F.sum(F.col(amount).bitwiseAND(low)),
-        F.sum(F.shiftright(amount, _PART_BITS).bitwiseAND(low)),
-        F.sum(F.shiftright(amount, 2 * _PART_BITS)),
-    ]
-
-
-def _joined(parts: Sequence[str]) -> Column:
-    whole = sum(
-        (F.col(p).cast("decimal(19,0)") * F.lit(1 << i * _PART_BITS) for i, p in enumerate(parts[1:], 1)),
-        F.col(parts[0]).cast("decimal(19,0)"),
-    )
-    return (whole * F.lit(Decimal("0.01"))).cast("decimal(38,2)")
+from quartzline.functions import exact_total, hundredths, quoted
 
 
 def exact_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, str], count: str) -> DataFrame:
@@ -39,8 +17,7 @@ def exact_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, str], count:
     One shuffle. Rows are added up as bigints before it, inside generated code, so it moves
     one row per group and input split however many rows a group holds.
     """
-    amounts = df.select(*by, *(hundredths(F.col(c)).alias(name) for name, c in sums.items()))
-    part_names = {name: [f"{name}_part{i}" for i in range(3)] for name in sums}
-    partial = [p.alias(n) for name, names in part_names.items() for p, n in zip(_parts(name), names)]
-    grouped = amounts.groupBy(*by).agg(*partial, F.count("*").alias(count))
-    return grouped.select(*by, *(_joined(names).alias(name) for name, names in part_names.items()), count)
+    keys = [quoted(key) for key in by]
+    amounts = df.selectExpr(*keys, *(f"{hundredths(c)} AS {quoted(name)}" for name, c in sums.items()))
+    totals = (F.expr(exact_total(name)).alias(name) for name in sums)
+    return amounts.groupBy(*keys).agg(*totals, F.count("*").alias(count))
