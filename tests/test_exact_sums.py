@@ -90,3 +90,39 @@ def test_plan(spark, conf):
     assert sorted(read) == ["l_extendedprice", "l_linestatus", "l_quantity", "l_returnflag", "l_shipdate"]
     for slow in ("Python", "Sort", "Cartesian", "Broadcast", "Window"):
         assert slow not in plan
+
+
+def test_shuffle_moves_one_row_per_group_and_split(spark, conf):
+    conf("spark.sql.adaptive.enabled", "false")  # keeps the exchange visible in the plan
+    lineitem = spark.read.parquet(*[f"{TESTDATA}/sf0.1/lineitem.parquet"] * 6)
+    query = pricing_summary(lineitem)
+    groups = len(query.collect())
+    exchange = query._jdf.queryExecution().executedPlan().children().head()
+    while "Exchange" not in exchange.nodeName():
+        exchange = exchange.children().head()
+    written = exchange.metrics().apply("shuffleRecordsWritten").value()
+    assert groups == 6
+    assert 0 < written <= groups * lineitem.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize(
+    ("key", "value"),
+    [
+        ("spark.sql.ansi.enabled", "false"),
+        ("spark.sql.decimalOperations.allowPrecisionLoss", "false"),
+        ("spark.sql.caseSensitive", "true"),
+        ("spark.sql.ansi.doubleQuotedIdentifiers", "true"),
+        ("spark.sql.codegen.wholeStage", "false"),
+        ("spark.sql.parquet.enableVectorizedReader", "false"),
+        ("spark.sql.timestampType", "TIMESTAMP_NTZ"),
+        ("spark.sql.adaptive.enabled", "false"),
+        ("spark.sql.shuffle.partitions", "1"),
+    ],
+)
+def test_session_settings_do_not_change_the_result(spark, conf, key, value):
+    def result():
+        return sorted(map(tuple, pricing_summary(read_table(spark, f"{TESTDATA}/sf0.01", "lineitem")).collect()))
+
+    expected = result()
+    conf(key, value)
+    assert result() == expected

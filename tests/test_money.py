@@ -86,3 +86,11 @@ def test_same_without_ansi(spark, conf):
 def test_odd_column_name(spark):
     df = frame(spark, [1.25]).toDF("a `b`.c")
     assert df.selectExpr(hundredths("a `b`.c")).first()[0] == 125
+
+
+@pytest.mark.parametrize("type_", ["float", "int", "bigint", "decimal(15,2)", "decimal(18,4)"])
+def test_other_numeric_types(spark, type_):
+    values = [0.0, 0.1, -0.1, 1.005, 123456.785, -99999.99, 7.0, None]
+    amounts = frame(spark, values).selectExpr(f"CAST(x AS {type_}) AS x")
+    pairs = amounts.selectExpr(f"{hundredths('x')} AS fast", "CAST(CAST(x AS DECIMAL(18,2)) * 100 AS BIGINT) AS cast")
+    assert pairs.where("NOT fast <=> cast").collect() == []
