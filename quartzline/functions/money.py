@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 
+#: Amounts whose 20-bit parts a bigint can hold the sum of.
+MOST_ROWS = 2**43
+
+
 def quoted(column: str) -> str:
     """A column name as a SQL identifier."""
     return "`" + column.replace("`", "``") + "`"
@@ -35,11 +39,20 @@ def exact_total(amount: str) -> str:
 
     Each value, below 2**60, is added up in three 20-bit parts. A bigint holds the sum of
     2**43 such parts (8.8e12), so nothing overflows even with every row of 100 TB in one group.
+    A group with more amounts raises an error, in ANSI mode or not.
     """
     x = quoted(amount)
-    return f"""
+    total = f"""
         CAST((
             CAST(sum({x} & 1048575) AS DECIMAL(19,0))
             + CAST(sum(shiftright({x}, 20) & 1048575) AS DECIMAL(19,0)) * 1048576
             + CAST(sum(shiftright({x}, 40)) AS DECIMAL(19,0)) * 1099511627776
         ) * 0.01BD AS DECIMAL(38,2))"""
+    return within_rows(total, f"count({x})")
+
+
+def within_rows(total: str, rows: str) -> str:
+    """SQL for `total`, or an error where `rows` exceeds what the part sums can hold."""
+    return f"""
+        CASE WHEN {rows} <= {MOST_ROWS} THEN {total}
+        ELSE raise_error('more than 2**43 amounts in a group') END"""
