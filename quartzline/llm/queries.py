@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzline.llm import blob_ledger, chunk_bpe, language_id, line_cleaning, minhash_dedup, spot_signatures, toxic_grammar
+from quartzline.llm import blob_ledger, chunk_bpe, language_id, line_cleaning, minhash_dedup, repeated_spans, spot_signatures, toxic_grammar
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +51,16 @@ def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.successors_report(_documents(spark, sf_dir))
 
 
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(_documents(spark, sf_dir))
+
+
 def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.line_report(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_minhash_dedup, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op10_line_cleaning)
+    found = (op1_language_id, op2_minhash_dedup, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op9_repeated_spans, op10_line_cleaning)
     return {q.__name__: q for q in found}
 
 
