@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,10 +63,6 @@ class LanguageModel:
     bias: np.ndarray
     orders: int = 3
 
-    def scores(self, spectra: np.ndarray) -> np.ndarray:
-        """One-versus-rest scores of a batch of spectra: two matrix products."""
-        return kernel(spectra, unpacked(self.landmarks)) @ self.weights + self.bias
-
 
 def unpacked(packed: np.ndarray) -> np.ndarray:
     return np.unpackbits(packed, axis=1).astype(np.float32)
@@ -128,6 +125,31 @@ def fit(docs: DataFrame, *, rows_per_language: int = 400, max_rows: int = 4000,
     return train(np.stack([np.frombuffer(r.bits, np.uint8) for r in rows]), [r.lang for r in rows], n_landmarks, orders=orders)
 
 
+class Judge:
+    """A model made ready to score batches of texts, by two matrix products each."""
+
+    def __init__(self, model: LanguageModel | None):
+        self.model = model
+        if model is not None:
+            self.marks = unpacked(model.landmarks)
+            self.norms = np.sqrt(np.maximum(self.marks.sum(1), 1))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        model = self.model
+        if model is None:
+            return names, scores
+        spectra = {i: s for i, text in enumerate(texts) if (s := spectrum(text, model.orders)) is not None}
+        if spectra:
+            a = np.stack(list(spectra.values())).astype(np.float32)
+            k = (a @ self.marks.T) / np.sqrt(a.sum(1))[:, None] / self.norms[None, :]
+            f = k @ model.weights + model.bias
+            best = f.argmax(1)
+            for i, b, s in zip(spectra, best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), strict=True):
+                names[i], scores[i] = model.languages[b], float(s)
+        return names, scores
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each whole text; one row out for each row in.
 
@@ -137,24 +159,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = None if model is None else unpacked(model.landmarks)
-        norms = None if model is None else np.sqrt(np.maximum(marks.sum(1), 1))
+        judge = Judge(model)
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
-                names, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
-                place, spectra = [], []
-                for i, text in enumerate(part.column("text")) if model is not None else ():
-                    if (s := spectrum(text.as_py(), model.orders)) is not None:
-                        place.append(i)
-                        spectra.append(s)
-                if spectra:
-                    a = np.stack(spectra).astype(np.float32)
-                    k = (a @ marks.T) / np.sqrt(a.sum(1))[:, None] / norms[None, :]
-                    f = k @ model.weights + model.bias
-                    best = f.argmax(1)
-                    for i, b, s in zip(place, best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), strict=True):
-                        names[i], scores[i] = model.languages[b], float(s)
+                names, scores = judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
@@ -162,6 +171,19 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def language_column(model: LanguageModel | None, batch_rows: int = 256):
+    """A column function with the predictions of `identify`: text -> struct(lang_pred, score)."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        judge = Judge(model)
+        for batch in texts:
+            found = [judge(batch.iloc[at : at + batch_rows].tolist()) for at in range(0, len(batch), batch_rows)]
+            yield pd.DataFrame({"lang_pred": [n for names, _ in found for n in names], "score": [s for _, scores in found for s in scores]})
+
+    return predict
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out (crc32 of doc_id, modulo 4, is 2) and predicts all."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzline.llm import blob_ledger, chunk_bpe, language_id, line_cleaning, minhash_dedup, repeated_spans, spot_signatures, toxic_grammar
+from quartzline.llm import blob_ledger, chunk_bpe, language_id, line_cleaning, minhash_dedup, raking, repeated_spans, spot_signatures, surrogates, toxic_grammar
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(_documents(spark, sf_dir), minhash_dedup.Settings(words=4))
 
 
+def op3_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix_documents(_documents(spark, sf_dir)).drop("text", "n_chars")
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_documents(spark, sf_dir), count="n_entities").select("doc_id", "n_entities", "text")
+
+
 def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -60,7 +68,7 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_minhash_dedup, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op9_repeated_spans, op10_line_cleaning)
+    found = (op1_language_id, op2_minhash_dedup, op3_raking, op4_surrogates, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op9_repeated_spans, op10_line_cleaning)
     return {q.__name__: q for q in found}
 
 
