@@ -176,7 +176,8 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     Equal sets are one node, named by the smallest doc_id and found by aggregation, so copies cost
     nothing further. The other links come from buckets of equal bands. Inside a bucket no pairs are
-    emitted at large: all members are first compared with a pivot, then with further pivots where
+    emitted at large: all members are first compared with a pivot, the member with most company in
+    all its buckets, which is the original of many near copies; then with further pivots where
     members still lie in different components. Only what is then still apart is compared pair by
     pair, between components: pairs inside one cannot change it. So every bucket is treated in
     full, without a cap, and the work follows the number of members, not its square.
@@ -190,9 +191,14 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     nodes = materialize(named.join(first, (named.doc_id == first.node) & (named.set_a == first.set_a) & (named.set_b == first.set_b)).select("node", "n_shingles", "signature").dropDuplicates(["node"]))
 
     bands = band_rows(nodes, s)
-    pivot = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"].alias(f"p{i}")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("n"), *(pivot(i) for i in range(s.pivots))).where("n > 1").drop("n")
-    members = materialize(bands.join(buckets, "bucket"))
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(sizes, "bucket"))
+    # a text that others were copied from shares more and fuller buckets than its copies do
+    central = members.groupBy("node").agg(F.sum("n").alias("c"))
+    members = members.select("bucket", "node").join(central, "node")
+    pivot = lambda i: F.min(F.struct((-F.col("c") if i == 0 else F.xxhash64("node", F.lit(i))).alias("h"), "node"))["node"].alias(f"p{i}")
+    buckets = members.groupBy("bucket").agg(*(pivot(i) for i in range(s.pivots)))
+    members = materialize(members.drop("c").join(buckets, "bucket"))
 
     edges, labels = None, None
     tried = None
