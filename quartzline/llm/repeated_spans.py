@@ -211,17 +211,19 @@ def window_matches(texts: DataFrame, hits: DataFrame, rest: DataFrame, s: Spans)
                     hashed = RangeHash(data[base : int((start[o] + starts[o]).max()) - 1 + s.length])
                     begins = np.concatenate([np.arange(x, x + y) for x, y in zip(start[o], starts[o], strict=True)])
                     owner = np.repeat(o, starts[o])
+                    windows = hashed(begins - base, begins - base + s.length) + (at[owner] - begins).astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(core[owner]), pa.array(context[owner]), pa.array((begins - start[owner]).astype(np.int32)), pa.array(mix(hashed(begins - base, begins - base + s.length) + (at[owner] - begins).astype(np.uint64)).view(np.int64))],
-                        ["core", "context", "shift", "window"],
+                        [pa.array(context[owner]), pa.array((begins - start[owner]).astype(np.int32)), pa.array(mix(windows ^ mix(core[owner].view(np.uint64))).view(np.int64))],
+                        ["context", "shift", "window"],
                     )
 
-    each = texts.select(*_KEY, "text").join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "core bigint, context bigint, shift int, window bigint")
-    # one of the windows that are equal names the group; the others are found by joining back
-    each = materialize(each.dropDuplicates(["core", "context", "shift"]))
-    twice = each.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window")
-    partial = each.join(twice, ["core", "window"], "left_semi").groupBy("core", "context").agg(F.collect_set("shift").alias("shifts"))
-    single = rest.join(contexts.where("n = 1").select("core", "context"), ["core", "context"], "left_semi").join(partial, ["core", "context"])
+    each = texts.select(*_KEY, "text").join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "context bigint, shift int, window bigint")
+    each = materialize(each)
+    # rows that repeat a text make the same windows twice: only different places count
+    place = F.struct("context", "shift")
+    twice = each.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
+    partial = each.join(twice, "window", "left_semi").groupBy("context").agg(F.collect_set("shift").alias("shifts"))
+    single = rest.join(contexts.where("n = 1").select("core", "context"), ["core", "context"], "left_semi").join(partial, "context")
     single = single.select(*_KEY, F.explode("shifts").alias("shift"), "start").select(*_KEY, (F.col("start") + F.col("shift")).alias("begin"), (F.col("start") + F.col("shift") + s.length).alias("end"))
     multiple = rest.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi")
     return single.union(multiple.select(*_KEY, F.col("start").alias("begin"), (F.col("start") + F.col("starts") - 1 + s.length).alias("end")))
