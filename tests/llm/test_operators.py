@@ -1,0 +1,321 @@
+"""The corpus operators against brute force, on small tables with awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quartzline.llm import (
+    blob_ledger,
+    chunk_bpe,
+    language_id,
+    line_cleaning,
+    minhash_dedup,
+    queries,
+    raking,
+    repeated_spans,
+    spot_signatures,
+    surrogates,
+    toxic_grammar,
+)
+from quartzline.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kind string, row int, blob string, _m int, words string"
+
+
+def awkward_texts() -> list[str | None]:
+    rng = random.Random(5)
+    words = ["the", "alpha", "of", "beta", "und", "gamma", "stupid", "der", "naïve", "Straße", "x1", "delta"]
+    say = lambda n: " ".join(rng.choice(words) + str(rng.randrange(300)) for _ in range(n))
+    base, passage = say(120), say(90)
+    texts: list[str | None] = [None, "", " \n\t ", "one", "two words", "a b c", "a b c d", "####", "\x1c\x85 ", "é́ é"]
+    texts += [base, base, base.upper(), base.replace("1", "7", 3), base + " end", base.rsplit(" ", 4)[0]]
+    texts += [say(40) + passage + say(60), passage, say(5) + "\n" + passage + "\n" + say(300)]
+    texts += ["z" * 1300, "ab" * 900, "line one.\nline one.\n" * 30, "Home | About | Contact | Login\n" * 9]
+    texts += [say(20000), "password = 'abc' token: secret=abcdefgh AKIA" + "Z" * 20 + " " + "0af" * 12 + " 😀 API-KEY api_key=\"q1w2e3r4\""]
+    texts += ["mail a.b@mail.example.com or a.b@mail.example.com, +1 (017) 555-7713, 10.2.33.254 and 4111111111111111.", "<|endoftext|> it's <|startoftext|>'S 12 İ Σ"]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3, t, None if i % 5 == 4 else ("en", "de", "fr")[i % 3], "src" if i % 2 else None, None, 0.5, "k", 1, "b", 2, "w") for i, t in enumerate(awkward_texts())]
+    rows.append(rows[12])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def shingle_set(text, k):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_components(docs, texts, k):
+    sets = {d: shingle_set(t, k) for d, t in texts.items()}
+    group = {d: d for d in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+    got = minhash_dedup.near_components(docs, minhash_dedup.Settings(words=k)).collect()
+    assert len(got) == docs.count()
+    assert {tuple(r) for r in got} == {(d, len(sets[d]), group[d], group[d] == d) for d in texts}
+
+
+def test_sequential_bounds():
+    limits = minhash_dedup.least_matches(minhash_dedup.Settings())
+    assert [n for n, _ in limits] == [32, 64, 96, 128]
+    assert all(0 < m < 0.8 * n for n, m in limits)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_repeated_spans(docs, texts):
+    for length, stride in ((400, 96), (60, 20)):
+        got = repeated_spans.remove_repeats(docs, repeated_spans.Spans(length, stride), output="bytes").collect()
+        raw = [(r.doc_id, (texts[r.doc_id] or "").encode()) for r in docs.collect()]
+        seen = Counter(b[i : i + length] for _, b in raw for i in range(len(b) - length + 1))
+        expected = []
+        for d, b in raw:
+            gone = bytearray(len(b))
+            for i in range(len(b) - length + 1):
+                if seen[b[i : i + length]] > 1:
+                    gone[i : i + length] = b"\1" * length
+            expected.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(expected)
+
+
+def test_bpe_equals_the_library(docs, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    got = chunk_bpe.encode_documents(docs, queries.tokenizer_path(), output="tokens").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tok.decode(ids, skip_special_tokens=False) and r.n_tokens == len(ids)
+    for r in chunk_bpe.encode_documents(docs, queries.tokenizer_path(), bits=4).collect():
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_secret_report(docs, texts):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for r in blob_ledger.secret_report(docs).collect():
+        t = texts[r.doc_id] or ""
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), (t, r.spans, base)
+        n = Counter(k for *_, k, _ in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+
+
+def test_ledger_scans_only_unseen_contents(docs):
+    paths, first = blob_ledger.update_ledger(docs)
+    first = first.cache()
+    assert first.count() == first.select("blob").distinct().count() == paths.select("blob").distinct().count()
+    more = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(999, "token = abcdefgh9")], "doc_id long, text string"))
+    _, second = blob_ledger.update_ledger(more, first)
+    assert [r.findings[0].kind for r in second.collect()] == ["assign"]
+    assert blob_ledger.update_ledger(docs, first, blob_ledger.BASE_RULES)[1].count() == first.count()
+
+
+def test_line_report(docs, texts):
+    for r in line_cleaning.line_report(docs).collect():
+        t = texts[r.doc_id] or ""
+        w = WORD.findall(t)
+        runs = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [line for line in t.split("\n") if WORD.search(line)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (
+            len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed,
+        )
+        assert not (failed and r.kept)
+
+
+def test_line_rules(spark):
+    prose = "A plain sentence of a good number of words stands here, and it ends well.\n" 
+    rows = [(1, prose + "Another one follows it with other words and a stop.\nHome | About | Contact"), (2, "Home | About | Contact | Login\nSign in\nshort"), (3, None)]
+    got = {r.doc_id: r for r in line_cleaning.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].accepted and got[1].clean_text == prose + "Another one follows it with other words and a stop."
+    assert not got[2].accepted and got[2].clean_text == ""
+    assert not got[3].accepted and got[3].clean_text == ""
+
+
+def test_language_report(spark, docs):
+    found = language_id.language_report(docs).collect()
+    assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
+    und = {r.doc_id for r in found if r.lang_pred == "und"}
+    assert und == {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
+
+
+def test_language_accuracy(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in sample.collect()}
+    held = [r for r in language_id.language_report(sample).collect() if r.held_out]
+    assert len(held) > 100 and sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.98 * len(held)
+
+
+def test_spot_report(docs, texts):
+    rows = spot_signatures.successors_report(docs.dropDuplicates(["doc_id"])).collect()
+    order = sorted(texts)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.doc_id for r in rows) == order
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        cut = len(t) // 4
+        new = t[: len(t) - cut] + (texts[after[r.doc_id]] or "")[:cut]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    prints = defaultdict(set)
+    for r in rows:
+        prints[texts[r.doc_id] or ""].add(r.fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+
+
+def test_spot_near_pairs(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    prints = spot_signatures.fingerprints(sample).cache()
+    sets = {r.fingerprint: set(spot_signatures.from_string(r.fingerprint).tolist()) for r in prints.collect() if r.n_signatures}
+    keys = sorted(sets)
+    expected = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {frozenset((r.fingerprint_a, r.fingerprint_b)) for r in spot_signatures.near_pairs(prints).collect()} == expected
+
+
+def test_grammar():
+    found = toxic_grammar.Matcher(toxic_grammar.Lexicon({"fool": 4.0}, {"idio": 3.0}))
+    plain = found.features("what a fool")[0]
+    assert found.features("you fool")[0] > plain > found.features("he said fool")[0] * 0.7
+    assert found.features("you are not a fool")[0] < plain
+    assert found.features("idiotic. never. fool")[0] == 7.0
+    assert found.features("I will kill you")[2] > 0
+    assert found.features(None) == found.features("") == (0.0, 0.0, 0.0)
+
+
+def test_toxicity(spark, docs, empty):
+    sample, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in toxic_grammar.toxicity_report(sample, labels).collect() if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.01 * len(held)
+    none = toxic_grammar.toxicity_report(docs, labels.where("false")).collect()
+    assert len(none) == docs.count() and not any(r.predicted for r in none)
+
+
+def test_surrogates(docs, texts):
+    rows = surrogates.replace_entities(docs, count="n_entities").collect()
+    assert len(rows) == docs.count()
+    assert set(rows[0].asDict()) == {*docs.columns, "n_entities"}
+    for r in rows:
+        if not r.n_entities:
+            assert r.text == texts[r.doc_id]
+        else:
+            mails = re.findall(r"\S+@\S+\.com", r.text)
+            assert r.n_entities == 5 and len({m.strip(",") for m in mails}) == 1
+            assert not re.search(r"a\.b@mail|017|7713|10\.2\.33\.254|4111111111111111", r.text)
+            assert re.sub(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\d+(\.\d+){3}|\d{16}", "", r.text) == "mail  or , ,  and ."
+
+
+def test_surrogates_are_distinct(spark):
+    rows = [("ip", f"1.2.3.{i}") for i in range(200)] + [("ssn", f"{i:03}-00-0000") for i in range(100)] + [("name", f"Mrs. Ann B{c}") for c in "abcdef"]
+    got = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, value string"), "k").collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert all(r.surrogate.startswith("Mrs. ") and r.surrogate[-1] == "a" for r in got if r.kind == "name")
+
+
+def test_raking_meets_the_margins(spark):
+    rng = random.Random(3)
+    cells = [(s, g, t, rng.randrange(1, 1000)) for s in "abcde" for g in ("x", "y") for t in "123"]
+    mix = raking.Mix()
+    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix).collect()
+    total = sum(c[3] for c in cells)
+    for d, e in mix.exponents.items():
+        tokens, weight = Counter(), Counter()
+        for r in got:
+            tokens[r[d]] += r.tokens
+            weight[r[d]] += r.weight
+        raw = {v: (n / total) ** e for v, n in tokens.items()}
+        for v in raw:
+            assert weight[v] == pytest.approx(raw[v] / sum(raw.values()) * total, rel=1e-4)
+
+
+def test_mix_documents(docs, empty):
+    rows = raking.mix_documents(docs, prefix="mix_").collect()
+    assert len(rows) == docs.count()
+    total = sum(r.mix_tokens for r in rows)
+    assert sum(r.mix_tokens * r.mix_probability for r in rows) == pytest.approx(0.5 * total, rel=1e-6)
+    assert sum(r.mix_weight for r in rows) == pytest.approx(total, rel=1e-4)
+    assert [r for r in raking.mix_documents(docs).orderBy("doc_id").collect()] == [r for r in raking.mix_documents(docs.repartition(1)).orderBy("doc_id").collect()]
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert language_id.language_report(empty).count() == 0
+    assert minhash_dedup.near_components(empty).count() == 0
+    assert raking.mix_documents(empty).count() == 0
+    assert surrogates.replace_entities(empty).count() == 0
+    assert chunk_bpe.encode_documents(empty, queries.tokenizer_path()).count() == 0
+    assert blob_ledger.secret_report(empty).count() == 0
+    assert toxic_grammar.toxicity_report(empty, labels).count() == 0
+    assert spot_signatures.successors_report(empty).count() == 0
+    assert repeated_spans.remove_repeats(empty).count() == 0
+    assert line_cleaning.line_report(empty).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, "one text of some words here"), (None, None), (1, "one text of some words here"), (None, "mail x.y@z.org now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    assert minhash_dedup.near_components(docs).count() == 4
+    assert all(r.kept for r in minhash_dedup.near_components(docs).collect())
+    assert spot_signatures.successors_report(docs).count() == 4
+    assert repeated_spans.remove_repeats(docs).count() == 4
+    assert chunk_bpe.encode_documents(docs, queries.tokenizer_path()).count() == 4
+    assert blob_ledger.secret_report(docs).count() == 4
+    assert language_id.language_report(docs).count() == 4
+    assert raking.mix_documents(docs).count() == 4
+    assert "x.y@z" not in " ".join(r.text or "" for r in surrogates.replace_entities(docs).collect())
+
+
+def test_pipeline(spark, docs, texts):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    columns = docs.columns
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, "")
+        assert out.columns == columns, name
+    kept = [r.doc_id for r in stage["near duplicates"](spark, docs, "").collect()]
+    sets = {d: shingle_set(t, 5) for d, t in texts.items()}
+    assert len(kept) == len(set(kept))
+    lost = set(texts) - set(kept)
+    assert all(any(k < d and 100 * len(sets[k] & sets[d]) >= 80 * len(sets[k] | sets[d]) for k in texts) for d in lost) and lost
+    assert stage["language ID"](spark, docs, "").where("lang IS NULL").count() == 0
+    assert stage["BPE"](spark, docs, "").count() == docs.count()
