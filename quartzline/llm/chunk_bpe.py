@@ -186,14 +186,13 @@ _KEY = ["key", "text_hash"]
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("key"),
         F.xxhash64(text).alias("text_hash"),
         text.alias("text"),
     )
 
 
-def encode_documents(docs: DataFrame, path: str, *, bits: int = 9, output: str = "digests") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str = "digests") -> DataFrame:
     """Encodes each whole text (null: empty) and decodes the ids; one row out for each row in.
 
     Returns doc_id, n_tokens, and by `output` either ids_sha256 and decoded_sha256 ("digests"), or
@@ -242,9 +241,11 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 9, output: str =
 
     encoded = texts.select(*_KEY, "text").join(owned.hint("shuffle_hash"), _KEY).select("text", "chunks").mapInArrow(encode_owned, "name binary, ids binary")
     encoded = encoded.dropDuplicates(["name"])
-    places = chunks.dropDuplicates([*_KEY, "seq"]).join(encoded, "name")
-    given = places.groupBy(*_KEY).agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
-    rows = texts.join(given.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "given")
+    # a set, as repeated rows give their chunks twice
+    given = chunks.join(encoded, "name").groupBy(*_KEY).agg(F.collect_set(F.struct("seq", "ids")).alias("given"))
+    # the same columns as above, so that Spark reuses the exchange of the texts
+    joined = texts.select(*_KEY, "text").join(given.hint("shuffle_hash"), _KEY, "left")
+    rows = joined.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"), "text", "given")
 
     tokens = output == "tokens"
 
