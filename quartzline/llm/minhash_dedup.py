@@ -31,7 +31,6 @@ class Settings:
     rows: int = 4
     batch: int = 32
     miss: float = 1e-6
-    pivots: int = 3
 
     @property
     def places(self) -> int:
@@ -97,7 +96,7 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def band_rows(sets: DataFrame, s: Settings) -> DataFrame:
-    """One row for each set and band: node, band, bucket."""
+    """One row for each set and band: node, bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = mix(np.arange(1, s.rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -115,12 +114,65 @@ def band_rows(sets: DataFrame, s: Settings) -> DataFrame:
     return sets.select("node", "signature").mapInArrow(run, "node bigint, bucket bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def shingle_rows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """node and shingles, the sorted 64-bit hashes as bytes, of the texts whose doc_id is in `wanted`."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch):
+                found = [x.tobytes() for x in shingle_hashes(*word_hashes(data, offsets), s.words)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    return materialize(texts.mapInArrow(build, "node bigint, shingles binary").dropDuplicates(["node"]))
+
+
+def prefix_pairs(members: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of members (node, label) of different labels that may reach the threshold t; none is missed.
+
+    The shingles of each set are put in one order, the rarest among the members first. Sets that
+    reach t share t/(1 + t) of the sum of their sizes, so at least 2t/(1 + t) of the smaller set
+    and t of the larger; hence they share a shingle of the first n - ceil(2t/(1 + t) n) + 1 of the
+    smaller and of the first n - ceil(t n) + 1 of the larger; and from the first that they share
+    on, both have as many left as they must share. Shingles that no other member has
+    come first and pair nothing: texts that share only a passage, or the rest of what they were
+    edited from, mostly have enough of those to drop out. Order and equality go by 32 bits of
+    the hash, of which clashes can only add pairs.
+    """
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = (np.frombuffer(raw.as_buffer(), np.uint64) >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                for at in range(0, len(found), 1 << 16):
+                    piece = found[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), node, np.int64)), pa.array(piece)], ["node", "h"])
+
+    rows = whole.select("node", "shingles").mapInArrow(shorten, "node bigint, h int")
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    held = rows.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held"))
+    sizes = whole.select("node", (F.length("shingles") / 8).cast("bigint").alias("n"))
+    known = held.join(sizes, "node").join(members, "node")
+    t, d = s.numerator, s.denominator
+    # what is left of both prefixes after the shingles that no other member has
+    own = F.expr(f"n - (2 * {t} * n + {t + d - 1}) div {t + d} + 1 - (n - size(held))")
+    asked = F.expr(f"cast(greatest(n - ({t} * n + {d - 1}) div {d} + 1 - (n - size(held)), 0) as int)")
+    first = known.select("node", "label", "n", own.alias("own"), F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), asked)).alias("pos", "x"))
+    first = materialize(first.select("node", "label", "n", F.col("x.h").alias("h"), (F.col("pos") < F.col("own")).alias("own"), (F.col("m") - F.col("pos")).alias("left")))
+    small = first.where("own").select("h", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    large = first.select("h", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    enough = F.least("left_a", "left_b") * (t + d) >= (F.col("n_a") + F.col("n_b")) * t
+    fits = order & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * d >= F.col("n_b") * t) & enough
+    return small.join(large, "h").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings, whole: DataFrame | None = None) -> DataFrame:
     """Of candidate pairs (a, b), those that reach the threshold.
 
     Signatures are compared batch by batch, and a pair is dropped as soon as its posterior chance
-    of reaching the threshold falls below `miss`. The survivors' whole shingle sets are rebuilt from
-    their texts and compared exactly.
+    of reaching the threshold falls below `miss`. The survivors' whole shingle sets, rebuilt from
+    their texts if not given, are compared exactly.
     """
     limits = least_matches(s)
     sizes = nodes.select("node", "n_shingles", "signature")
@@ -141,15 +193,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -
             yield batch.select([0, 1]).take(pa.array(stay))
 
     survivors = materialize(compared.mapInArrow(prune, "a bigint, b bigint"))
-    wanted = survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("shuffle_hash")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in text_slices(batch):
-                found = [x.tobytes() for x in shingle_hashes(*word_hashes(data, offsets), s.words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
-
-    whole = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "node bigint, shingles binary").dropDuplicates(["node"]))
+    if whole is None:
+        whole = shingle_rows(docs, survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), s)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +222,10 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     Equal sets are one node, named by the smallest doc_id and found by aggregation, so copies cost
     nothing further. The other links come from buckets of equal bands. Inside a bucket no pairs are
     emitted at large: all members are first compared with a pivot, the member with most company in
-    all its buckets, which is the original of many near copies; then with further pivots where
-    members still lie in different components. Only what is then still apart is compared pair by
-    pair, between components: pairs inside one cannot change it. So every bucket is treated in
-    full, without a cap, and the work follows the number of members, not its square.
+    all its buckets, which is the original of many near copies. Members of buckets that still hold different
+    components are paired between components, where they share one of their rarest shingles
+    (`prefix_pairs`): texts that merely share a passage have none of these in common. So every
+    bucket is treated in full, without a cap, and loses no link it could give.
     """
     s = settings or Settings(words=4)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -195,32 +240,15 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     members = materialize(bands.join(sizes, "bucket"))
     # a text that others were copied from shares more and fuller buckets than its copies do
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    members = members.select("bucket", "node").join(central, "node")
-    pivot = lambda i: F.min(F.struct((-F.col("c") if i == 0 else F.xxhash64("node", F.lit(i))).alias("h"), "node"))["node"].alias(f"p{i}")
-    buckets = members.groupBy("bucket").agg(*(pivot(i) for i in range(s.pivots)))
-    members = materialize(members.drop("c").join(buckets, "bucket"))
-
-    edges, labels = None, None
-    tried = None
-    for i in range(s.pivots):
-        pairs = members.select(F.least("node", f"p{i}").alias("a"), F.greatest("node", f"p{i}").alias("b")).where("a < b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = verified(pairs, nodes, texts, s)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        members = materialize(_unsettled(members, labels))
-        if members.isEmpty():
-            break
-    else:
-        mine = members.select("bucket", "node", "label", "low", "high")
-        other = mine.select("bucket", F.col("node").alias("node_b"), F.col("label").alias("label_b"))
-        pairs = mine.join(other, "bucket").where("label < label_b").select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        edges = edges.union(verified(pairs, nodes, texts, s))
-        labels = components(edges)
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("c"), "node"))["node"].alias("pivot"))
+    pairs = members.join(pivots, "bucket").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).where("a < b").distinct()
+    tried = materialize(pairs)
+    edges = verified(tried, nodes, texts, s)
+
+    rest = materialize(_unsettled(members.select("node", "bucket"), components(edges)))
+    whole = shingle_rows(texts, rest.select(F.col("node").alias("doc_id")), s)
+    pairs = materialize(prefix_pairs(rest, whole, s).join(tried, ["a", "b"], "left_anti"))
+    labels = components(edges.union(verified(pairs, nodes, texts, s, whole)))
 
     joined = classes.join(labels, "node", "left").select("set_a", "set_b", "node", F.coalesce("component", "node").alias("component_id"))
     known = sets.join(joined, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
@@ -230,7 +258,7 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members lie in more than one component, with their labels."""
-    known = members.drop("label", "low", "high").join(labels, members.node == labels.node, "left").select(members.bucket, members.node, *(members[c] for c in members.columns if c[0] == "p"), F.coalesce("component", members.node).alias("label"))
+    """node and label (its component) of those members of buckets that lie in more than one component."""
+    known = members.join(labels, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("label"))
     spans = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return known.join(spans, "bucket")
+    return known.join(spans, "bucket", "left_semi").select("node", "label").distinct()
