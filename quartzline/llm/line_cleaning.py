@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import SEPARATOR_CLASS
+from quartzline.llm.common import SEPARATOR_CLASS, unused
 
 #: Phrases of site furniture and licence text; fixed values.
 BOILERPLATE = (
@@ -106,19 +106,21 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
     rules = rules or LineRules()
     names = ["clean_text", "lines_failed", "word_chars", "kept_word_chars", "accepted"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.drop(*names).withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    docs = docs.drop(*names)
+    held, left = unused("_lines", docs), unused("_kept", docs)
+    lines = docs.withColumn(held, F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     # array_distinct keeps the first of equal lines, so of a repeated line one stays
     kept = F.transform(
-        F.filter(F.transform(F.array_distinct("_lines"), _measured), lambda x: ~line_fails(x, rules)), lambda x: x["line"]
+        F.filter(F.transform(F.array_distinct(held), _measured), lambda x: ~line_fails(x, rules)), lambda x: x["line"]
     )
-    cleaned = lines.withColumn("_kept", kept)
+    cleaned = lines.withColumn(left, kept)
     return (
-        cleaned.withColumn("clean_text", F.array_join("_kept", "\n"))
-        .withColumn("lines_failed", (F.size("_lines") - F.size("_kept")).cast("bigint"))
+        cleaned.withColumn("clean_text", F.array_join(left, "\n"))
+        .withColumn("lines_failed", (F.size(held) - F.size(left)).cast("bigint"))
         .withColumn("word_chars", _word_chars(text).cast("bigint"))
-        .withColumn("kept_word_chars", _word_chars(F.array_join("_kept", "")).cast("bigint"))
+        .withColumn("kept_word_chars", _word_chars(F.array_join(left, "")).cast("bigint"))
         .withColumn("accepted", (F.col("kept_word_chars") > 0) & (F.col("kept_word_chars") * 100 >= F.col("word_chars") * rules.min_kept_percent))
-        .drop("_lines", "_kept")
+        .drop(held, left)
     )
 
 

@@ -26,7 +26,7 @@ from quartzline.llm import (
 from quartzline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kind string, row int, blob string, _m int, words string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kind string, row int, blob string, _m int, words string, _lines int, found string, rows int"
 
 
 def awkward_texts() -> list[str | None]:
@@ -45,7 +45,7 @@ def awkward_texts() -> list[str | None]:
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i * 3, t, None if i % 5 == 4 else ("en", "de", "fr")[i % 3], "src" if i % 2 else None, None, 0.5, "k", 1, "b", 2, "w") for i, t in enumerate(awkward_texts())]
+    rows = [(i * 3, t, None if i % 5 == 4 else ("en", "de", "fr")[i % 3], "src" if i % 2 else None, None, 0.5, "k", 1, "b", 2, "w", 3, "f", 4) for i, t in enumerate(awkward_texts())]
     rows.append(rows[12])  # a repeated row
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
