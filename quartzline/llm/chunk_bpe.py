@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import materialize
+from quartzline.llm.common import materialize, packed, unpacker
 
 _MIN_CHUNK = 64
 _CACHE_WORDS = 500_000
@@ -200,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
 
     Chunks are found by a rolling hash and named by a 128-bit hash. Names that occur more than once
     form the shared set: the first of their rows encodes the chunk, and its ids are joined back to
-    all rows by name, in Spark joins whose hot keys are split. Texts are dealt by row once, and that
+    all rows by name, in Spark joins whose hot keys are split. Texts are dealt by row once, packed, and that
     exchange serves both the encoding of shared chunks and the final pass. Repeated rows share all
     their chunks. Nothing is collected; a task holds one text and its ids.
     """
@@ -225,11 +225,11 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
     owned = shared.select("first.key", "first.text_hash", F.struct("first.seq", "name").alias("chunk")).groupBy(*_KEY).agg(F.collect_list("chunk").alias("chunks"))
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = coder(path)
+        use, unpack = coder(path), unpacker()
         for batch in batches:
             names, ids, done = [], [], set()
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
+                raw = unpack(text)
                 borders = cuts(raw, bits)
                 for x in wanted:
                     if x["name"] not in done:
@@ -239,23 +239,24 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
                         ids.append(use.encode((middle or b"").split()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], ["name", "ids"])
 
-    encoded = texts.select(*_KEY, "text").join(owned.hint("shuffle_hash"), _KEY).select("text", "chunks").mapInArrow(encode_owned, "name binary, ids binary")
+    dealt = packed(texts)
+    encoded = dealt.join(owned.hint("shuffle_hash"), _KEY).select("text", "chunks").mapInArrow(encode_owned, "name binary, ids binary")
     encoded = encoded.dropDuplicates(["name"])
     # a set, as repeated rows give their chunks twice
     given = chunks.join(encoded, "name").groupBy(*_KEY).agg(F.collect_set(F.struct("seq", "ids")).alias("given"))
-    # the same columns as above, so that Spark reuses the exchange of the texts
-    joined = texts.select(*_KEY, "text").join(given.hint("shuffle_hash"), _KEY, "left")
+    # the same frame as above, so that Spark reuses the exchange of the texts
+    joined = dealt.join(given.hint("shuffle_hash"), _KEY, "left")
     rows = joined.select(F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"), "text", "given")
 
     tokens = output == "tokens"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = coder(path)
+        use, unpack = coder(path), unpacker()
         for batch in batches:
             count, a, b = [], [], []
             for text, given in zip(batch.column(1), batch.column(2), strict=True):
                 known = {x["seq"]: x["ids"] for x in given.as_py() or ()}
-                ids = encode_text(text.as_buffer().to_pybytes(), known, use, bits)
+                ids = encode_text(unpack(text), known, use, bits)
                 if tokens:
                     a.append(np.frombuffer(ids, use.wide).tolist())
                     b.append(use.decode(ids))

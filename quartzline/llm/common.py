@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,30 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """`df` with the strings of `column`, of which none is null, as zstd frames.
+
+    Texts cross an exchange in two thirds of the bytes that Spark's own compression leaves of them.
+    `unpacker` gives them back inside a task, one at a time.
+    """
+    # columns that are never null stay so: no filter of nulls then sets two uses of one frame apart
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType, f.nullable) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            frames = pa.array([press.compress(x.as_buffer().to_pybytes()) for x in batch.column(column)], pa.binary())
+            yield pa.RecordBatch.from_arrays([frames if n == column else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unpacker() -> Callable[[pa.Scalar], bytes]:
+    """Turns a value of a `packed` column into the bytes of its text."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    return lambda frame: decompress(frame.as_buffer().to_pybytes())
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about `limit` bytes of text, for bounded memory.
 
