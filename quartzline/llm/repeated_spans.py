@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import RangeHash, materialize, mix, text_slices
+from quartzline.llm.common import RangeHash, materialize, mix, packed, text_slices, unpacker
 
 _GRAM = 16
 _PIECE = 1 << 22
@@ -199,12 +199,13 @@ def window_matches(texts: DataFrame, hits: DataFrame, rest: DataFrame, s: Spans)
     wanted = contexts.join(several, "core", "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("core", "context", "start", "starts", "at")).alias("blocks"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = unpacker()
         for batch in batches:
             for text, blocks in zip(batch.column(0), batch.column(1), strict=True):
                 found = blocks.values.flatten()
                 core, context, start, starts, at = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found)
                 order = np.argsort(start, kind="stable")
-                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                data = np.frombuffer(unpack(text), np.uint8)
                 for a in range(0, len(order), 4096):
                     o = order[a : a + 4096]
                     base = int(start[o].min())
@@ -217,7 +218,7 @@ def window_matches(texts: DataFrame, hits: DataFrame, rest: DataFrame, s: Spans)
                         ["context", "shift", "window"],
                     )
 
-    each = texts.select(*_KEY, "text").join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "context bigint, shift int, window bigint")
+    each = packed(texts.select(*_KEY, "text")).join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "context bigint, shift int, window bigint")
     each = materialize(each)
     # rows that repeat a text make the same windows twice: only different places count
     place = F.struct("context", "shift")
@@ -252,14 +253,15 @@ def remove_repeats(docs: DataFrame, spans: Spans | None = None, output: str = "d
     # rows that repeat doc_id and text are one key; they repeat each other as a whole
     doubles = texts.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(*_KEY, F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))
     found = repeated_spans(texts, s).union(doubles).groupBy(*_KEY).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = texts.join(found.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "spans")
+    joined = packed(texts).join(found.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "spans")
     bytes_out = output == "bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = unpacker()
         for batch in batches:
             size, removed, runs, kept = [], [], [], []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                data = np.frombuffer(unpack(text), np.uint8)
                 n, gone = len(data), np.zeros(0, bool)
                 count = 0
                 if spans.is_valid and n >= s.length:
