@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quartzline.llm.common import materialize, packed, unpacker
 
 _MIN_CHUNK = 64
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 100_000
 _PUNCTUATION = ".,;:!?-()\"#*$%&|"
 _SPACE = b" \t\n\r\x0b\x0c"
 _coders: dict[str, Coder] = {}

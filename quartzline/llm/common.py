@@ -131,7 +131,7 @@ class RangeHash:
                 setattr(RangeHash, name, np.cumprod(factors))
         self.sums = np.zeros(n, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[1:n], out=self.sums[1:])
-        if len(RangeHash._powers) > 1 << 22:  # one very long text leaves no large tables behind
+        if len(RangeHash._powers) > 1 << 20:  # a very long text leaves no large tables behind
             self._powers, self._inverses = RangeHash._powers, RangeHash._inverses
             RangeHash._powers = RangeHash._inverses = np.ones(1, np.uint64)
 
