@@ -26,6 +26,21 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+# Lengths of account numbers by country, as registered; fixed values.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(_IBAN_COUNTRIES.values()).replace(" ", "|")
+_IBAN_FORMS = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?:[ \u00a0-]?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_COUNTRIES.items())
+#: Wider patterns, whose matches count only if their check digits are right; tried before the others.
+CONFIRMED = {
+    "iban": rf"(?=[A-Z]{{2}}\d{{2}})(?<![\p{{L}}\p{{N}}])(?:{_IBAN_FORMS}|(?!{_KNOWN})[A-Z]{{2}}\d{{2}}(?:[ \u00a0-]?[A-Z0-9]{{4}}){{3,7}}(?:[ \u00a0-]?[A-Z0-9]{{1,3}})?)(?![\p{{L}}\p{{N}}])",
+    "card": r"(?=\d{4})(?<![\p{L}\p{N}.+])(?:\d{13,19}|\d{6}[ -]\d{7,13}|\d{4}(?<sep>[ -])(?:\d{6}\k<sep>\d{4,5}|\d{3}\k<sep>\d{3}\k<sep>\d{3}|\d{4}\k<sep>\d{4}\k<sep>(?:\d{4}\k<sep>)?\d{1,3}))(?![\p{L}\p{N}])",
+}
+CANDIDATE = "|".join(f"(?:{p})" for p in CONFIRMED.values())
+
 # Syllables and endings of invented names by script; fixed values.
 _SYLLABLES = {
     "latin": ["Bal", "Cor", "Dan", "Fer", "Gil", "Har", "Jor", "Kel", "Lam", "Mar", "Nor", "Per", "Ros", "Sal", "Tor", "Ver"],
@@ -40,13 +55,33 @@ _ENDINGS = {
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern the whole entity matches."""
+    """The first kind of which a pattern matches the whole entity."""
     out = F.when(F.lit(False), F.lit(""))
     for kind, pattern in PATTERNS.items():
-        out = out.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind))
+        for p in (pattern, CONFIRMED[kind]) if kind in CONFIRMED else (pattern,):
+            out = out.when(entity.rlike(f"^(?:{p})$"), F.lit(kind))
     return out
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder by 97 of a string of digits and letters, where A to Z are 10 to 35."""
+    code = lambda c: F.ascii(c) - F.when(c.rlike("^[0-9]$"), 48).otherwise(55)
+    step = lambda rest, c: ((rest * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + code(c)) % 97).cast("int")
+    return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban_right(value: Column) -> Column:
+    """Whether an account number's check digits are right."""
+    plain = F.regexp_replace(value, "[^A-Z0-9]", "")
+    return _mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
+def _confirmed(candidate: Column) -> Column:
+    """Whether a match of CANDIDATE or an address is an entity."""
+    luhn = F.call_function("luhn_check", F.regexp_replace(candidate, r"\D", ""))
+    return F.when(candidate.contains("@"), True).when(candidate.rlike("^[A-Z]"), _iban_right(candidate)).otherwise(luhn)
+
+
 def _digest(key: str, *parts: Column) -> Column:
     """64 hexadecimal digits that depend on the key and the parts."""
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
@@ -101,7 +136,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
     Addresses of one mail domain get one domain, whose last label stays. Octets stay in range and
     keep their number of digits. A country code stays. Card numbers that pass the Luhn test get
-    numbers that pass it.
+    numbers that pass it, account numbers with right check digits get right ones.
     """
     digest = _digest(key, kind, value, attempt.cast("string"))
     domain = F.substring_index(value, "@", -1)
@@ -117,7 +152,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     front = _shaped(F.substr(value, F.lit(1), F.length(value) - 1), digest)
     last = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(F.regexp_replace(front, r"\D", ""), d.cast("string"))))
     card = F.when(F.call_function("luhn_check", F.regexp_replace(value, r"\D", "")), F.concat(front, F.element_at(last, 1).cast("string"))).otherwise(_shaped(value, digest))
-    iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(3), F.length(value)), digest))
+    country, body = F.substr(value, F.lit(1), F.lit(2)), _shaped(F.substr(value, F.lit(5), F.length(value)), digest)
+    checks = F.lpad((98 - _mod97(F.concat(F.regexp_replace(body, "[^A-Z0-9]", ""), country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_iban_right(value), checks).otherwise(_shaped(F.substr(value, F.lit(3), F.lit(2)), _digest(key, F.lit("checks"), digest))), body)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(value, digest)).otherwise(_shaped(value, digest))
     )
@@ -147,10 +184,23 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 50) -> Da
     raise RuntimeError(f"no distinct surrogates after {max_attempts} attempts")
 
 
+def _has_entity(text: Column) -> Column:
+    """Whether a pattern matches, or a candidate with right check digits is there."""
+    return text.rlike(PATTERN) | (text.rlike(CANDIDATE) & F.exists(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _confirmed))
+
+
 def _marked(text: Column) -> Column:
-    """A text with marks around its entities; our marks in the text itself become replacement characters."""
+    """A text with marks around its entities; our marks in the text itself become replacement characters.
+
+    Candidates that their check digits do not confirm are searched for entities like other text.
+    """
+    mark = f"{OPEN}$0{CLOSE}"
     clean = F.regexp_replace(text, f"[{OPEN}{CLOSE}]", "\ufffd")
-    return F.regexp_replace(clean, PATTERN, f"{OPEN}$0{CLOSE}")
+    tried = F.split(F.regexp_replace(clean, f"(?:{PATTERNS['email']})|{CANDIDATE}", mark), OPEN)
+    checked = F.transform(tried, lambda p, i: F.when((i > 0) & _confirmed(F.substring_index(p, CLOSE, 1)), F.concat(F.lit(OPEN), p)).otherwise(F.translate(p, CLOSE, "")))
+    twice = F.regexp_replace(F.array_join(checked, ""), f"{OPEN}[^{CLOSE}]*{CLOSE}|{PATTERN}", mark)
+    once = F.regexp_replace(F.regexp_replace(twice, OPEN * 2, OPEN), CLOSE * 2, CLOSE)
+    return F.when(clean.rlike(CANDIDATE), once).otherwise(F.regexp_replace(clean, PATTERN, mark))
 
 
 def replace_entities(docs: DataFrame, key: str = "quartzline", count: str | None = None) -> DataFrame:
@@ -168,7 +218,7 @@ def replace_entities(docs: DataFrame, key: str = "quartzline", count: str | None
     if count:
         docs = docs.drop(count)
     columns = docs.columns
-    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    has = F.coalesce(_has_entity(F.col("text")), F.lit(False))
     others = [F.col(f"`{c}`") for c in columns if c != "text"]
     numbered = docs.where(has).select(F.monotonically_increasing_id().alias("row"), F.struct(*others, F.lit(0).alias("_")).alias("rest"), F.split(_marked(F.col("text")), OPEN).alias("split"))
     row = numbered.select("row", "rest", F.posexplode("split").alias("i", "piece"))

@@ -251,6 +251,25 @@ def test_surrogates_are_distinct(spark):
     assert all(r.surrogate.startswith("Mrs. ") and r.surrogate[-1] == "a" for r in got if r.kind == "name")
 
 
+def test_account_and_card_numbers(spark):
+    numbers = ["NL91ABNA0417164300", "NL91 ABNA 0417 1643 00", "IT60X0542811101000000123456", "FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"]
+    numbers += ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034", "CH93 0076 2011 6238 5295 7"]
+    numbers += ["378282246310005", "3782 822463 10005", "30569309025904", "3056-930902-5904", "4222222222222", "6304000000000000000", "4111 1111 1111 1111"]
+    wrong = ["NL92ABNA0417164300", "IT61X0542811101000000123456", "378282246310006", "3782 822463 10006"]
+    rows = [(i, f"Pay {n} EUR or PAID 12, see {n}.") for i, n in enumerate(numbers + wrong)]
+    rows += [(99, "ask 378282246310005@mail.example.org, NL92 ABNA 4111 1111 1111 1111 now")]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    for i, n in enumerate(numbers):
+        shape = re.escape(re.sub("[A-Z]", "A", re.sub(r"\d", "0", n))).replace("A", "[A-Z]").replace("0", r"\d")
+        found = re.fullmatch(rf"Pay ({shape}) EUR or PAID 12, see ({shape})\.", got[i].text)
+        assert got[i].n == 2 and found and found[1] == found[2] != n, n
+        if n[0].isalpha():
+            plain = found[1].replace(" ", "")
+            assert plain[:2] == n[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert all(got[i].text == rows[i][1] and not got[i].n for i in range(len(numbers), len(numbers + wrong)))
+    assert got[99].n == 2 and "3782" not in got[99].text and "4111" not in got[99].text
+
+
 def test_raking_meets_the_margins(spark):
     rng = random.Random(3)
     cells = [(s, g, t, rng.randrange(1, 1000)) for s in "abcde" for g in ("x", "y") for t in "123"]
