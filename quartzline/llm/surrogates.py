@@ -112,8 +112,11 @@ def _shaped(value: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), other), "")
 
 
-def _name(value: Column, digest: Column) -> Column:
-    """The same title and number of words; invented names of the title's gender and the name's script."""
+def _name(value: Column, digest: Column, attempt: Column) -> Column:
+    """The same title and number of words; invented names of the title's gender and the name's script.
+
+    A word has three syllables and an ending, and one more syllable for each attempt, up to 14.
+    """
     script = F.when(value.rlike(r"\p{IsCyrillic}"), 1).when(value.rlike(r"\p{IsGreek}"), 2).otherwise(0)
     gender = F.when(value.rlike(f"^(?:{_FEMALE})"), 0).when(value.rlike(f"^(?:{_MALE})"), 1).otherwise(2)
     titles = rf"(?:{_FEMALE}|{_MALE}|{_EITHER})\.?"
@@ -121,11 +124,14 @@ def _name(value: Column, digest: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(value, f"^{titles}", "")), " ")
 
     def word(_: Column, i: Column) -> Column:
+        own = F.sha2(F.concat_ws("\x1f", digest, i.cast("string")), 256)
         out = F.lit("")
         for s, name in enumerate(_SYLLABLES):
-            pick = lambda table, j: F.element_at(F.array(*map(F.lit, table)), _pick(digest, i * 4 + j, len(table)) + 1)
-            ending = F.when(gender == 0, pick(_ENDINGS[name][0], 3)).when(gender == 1, pick(_ENDINGS[name][1], 3)).otherwise(pick(_ENDINGS[name][2], 3))
-            out = F.when(script == s, F.concat(pick(_SYLLABLES[name], 0), F.lower(pick(_SYLLABLES[name], 1)), F.lower(pick(_SYLLABLES[name], 2)), ending)).otherwise(out)
+            pick = lambda table, at: F.element_at(F.array(*map(F.lit, table)), _pick(own, at, len(table)) + 1)
+            syllables = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(11)) + 2), lambda at: pick(_SYLLABLES[name], at))  # noqa: B023
+            last = F.lit(14)
+            ending = F.when(gender == 0, pick(_ENDINGS[name][0], last)).when(gender == 1, pick(_ENDINGS[name][1], last)).otherwise(pick(_ENDINGS[name][2], last))
+            out = F.when(script == s, F.concat(F.initcap(F.array_join(syllables, "")), ending)).otherwise(out)
         return out
 
     return F.concat(title, F.lit(" "), F.array_join(F.transform(words, word), " "))
@@ -134,21 +140,26 @@ def _name(value: Column, digest: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The keyed surrogate of an entity, of its kind and form; another one for each attempt.
 
+    Forms that few strings have grow with the attempts, so that there are always enough: names by a
+    syllable each attempt, the local parts of addresses by a letter from attempt 4 on, phone and
+    other numbers by a digit from attempt 10 on. Octets lose their number of digits at attempt 4.
+
     Addresses of one mail domain get one domain, whose last label stays. Octets stay in range and
-    keep their number of digits. A country code stays. Card numbers that pass the Luhn test get
+    keep their number of digits before that. A country code stays. Card numbers that pass the Luhn test get
     numbers that pass it, account numbers with right check digits get right ones.
     """
     digest = _digest(key, kind, value, attempt.cast("string"))
     domain = F.substring_index(value, "@", -1)
     label = F.substring_index(domain, ".", -1)
     inner = F.substr(domain, F.lit(1), F.length(domain) - F.length(label) - 1)
-    email = F.concat(_shaped(F.substring_index(value, "@", 1), digest), F.lit("@"), _shaped(inner, _digest(key, F.lit("domain"), F.lower(domain))), F.lit("."), label)
+    more = lambda c, first: _shaped(F.repeat(F.lit(c), F.greatest(attempt - first + 1, F.lit(0))), _digest(key, F.lit("more"), digest))
+    email = F.concat(_shaped(F.substring_index(value, "@", 1), digest), more("a", 4), F.lit("@"), _shaped(inner, _digest(key, F.lit("domain"), F.lower(domain))), F.lit("."), label)
     octet = lambda o, i: (
-        F.when(F.length(o) == 3, _pick(digest, i, 156) + 100).when(F.length(o) == 2, _pick(digest, i, 90) + 10).otherwise(_pick(digest, i, 9) + 1).cast("string")
+        F.when(attempt >= 4, _pick(digest, i, 255) + 1).when(F.length(o) == 3, _pick(digest, i, 156) + 100).when(F.length(o) == 2, _pick(digest, i, 90) + 10).otherwise(_pick(digest, i, 9) + 1).cast("string")
     )
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    phone = F.concat(code, _shaped(F.substr(value, F.length(code) + 1, F.length(value)), digest))
+    phone = F.concat(code, _shaped(F.substr(value, F.length(code) + 1, F.length(value)), digest), more("0", 10))
     front = _shaped(F.substr(value, F.lit(1), F.length(value) - 1), digest)
     last = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(F.regexp_replace(front, r"\D", ""), d.cast("string"))))
     card = F.when(F.call_function("luhn_check", F.regexp_replace(value, r"\D", "")), F.concat(front, F.element_at(last, 1).cast("string"))).otherwise(_shaped(value, digest))
@@ -156,7 +167,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     checks = F.lpad((98 - _mod97(F.concat(F.regexp_replace(body, "[^A-Z0-9]", ""), country, F.lit("00")))).cast("string"), 2, "0")
     iban = F.concat(country, F.when(_iban_right(value), checks).otherwise(_shaped(F.substr(value, F.lit(3), F.lit(2)), _digest(key, F.lit("checks"), digest))), body)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(value, digest)).otherwise(_shaped(value, digest))
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(value, digest, attempt)).otherwise(F.concat(_shaped(value, digest), more("0", 10)))
     )
 
 

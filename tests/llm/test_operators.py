@@ -251,6 +251,18 @@ def test_surrogates_are_distinct(spark):
     assert all(r.surrogate.startswith("Mrs. ") and r.surrogate[-1] == "a" for r in got if r.kind == "name")
 
 
+def test_surrogates_of_many_names(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "A" + "".join(letters[i // 26**k % 26] for k in range(4))
+    rows = [("name", f"Mr {name(i)}") for i in range(20000)]
+    rows += [("email", f"{c}@x.org") for c in letters] + [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    got = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, value string").repartition(8), "k").collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert all(0 <= int(o) <= 255 for r in got if r.kind == "ip" for o in r.surrogate.split("."))
+    assert all(re.fullmatch("Mr [A-Z][a-z]+(io|us|en|or)", r.surrogate) for r in got if r.kind == "name")
+
+
 def test_account_and_card_numbers(spark):
     numbers = ["NL91ABNA0417164300", "NL91 ABNA 0417 1643 00", "IT60X0542811101000000123456", "FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"]
     numbers += ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034", "CH93 0076 2011 6238 5295 7"]
