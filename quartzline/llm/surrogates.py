@@ -41,6 +41,9 @@ CONFIRMED = {
 }
 CANDIDATE = "|".join(f"(?:{p})" for p in CONFIRMED.values())
 
+# Codes of countries in phone numbers; fixed values.
+_COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 # Syllables and endings of invented names by script; fixed values.
 _SYLLABLES = {
     "latin": ["Bal", "Cor", "Dan", "Fer", "Gil", "Har", "Jor", "Kel", "Lam", "Mar", "Nor", "Per", "Ros", "Sal", "Tor", "Ver"],
@@ -137,8 +140,35 @@ def _name(value: Column, digest: Column, attempt: Column) -> Column:
     return F.concat(title, F.lit(" "), F.array_join(F.transform(words, word), " "))
 
 
+def canonical(kind: Column, value: Column) -> Column:
+    """What all mentions of one entity have in common.
+
+    Addresses in lower case, titles without a dot, numbers without separators (phone numbers keep a
+    plus sign). IPs and all else stay.
+    """
+    number = F.regexp_replace(value, "[^A-Z0-9+]", "")
+    return F.when(kind == "email", F.lower(value)).when(kind.isin("iban", "card", "ssn", "phone"), number).when(kind == "name", F.regexp_replace(value, r"\. ", " ")).otherwise(value)
+
+
+def laid_out(kind: Column, value: Column, drawn: Column) -> Column:
+    """The surrogate of a canonical value in the form of a mention: its case, separators or dot.
+
+    What the surrogate has more than the mention goes to the end, in addresses of the local part.
+    """
+    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    cased = lambda like, text: F.array_join(F.transform(chars(text), lambda c, i: F.when(F.substr(like, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    side = lambda at: cased(F.substring_index(value, "@", at), F.substring_index(drawn, "@", at))
+    email = F.concat(side(1), F.lit("@"), side(-1))
+    plain = F.regexp_replace(drawn, "[^A-Z0-9]", "")
+    before = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^A-Z0-9]", ""))
+    places = F.transform(chars(value), lambda c, i: F.when(c.rlike("^[A-Z0-9]$"), F.substr(plain, before(i) + 1, F.lit(1))).otherwise(c))
+    number = F.concat(F.array_join(places, ""), F.substr(plain, before(F.length(value)) + 1, F.length(plain)))
+    name = F.when(value.rlike(r"^\p{L}+\. "), F.regexp_replace(drawn, "^([^ ]+) ", "$1. ")).otherwise(drawn)
+    return F.when(kind == "email", email).when(kind.isin("iban", "card", "ssn", "phone"), number).when(kind == "name", name).otherwise(drawn)
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The keyed surrogate of an entity, of its kind and form; another one for each attempt.
+    """The keyed surrogate of an entity's canonical value, of its kind and form; another one for each attempt.
 
     Forms that few strings have grow with the attempts, so that there are always enough: names by a
     syllable each attempt, the local parts of addresses by a letter from attempt 4 on, phone and
@@ -158,7 +188,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         F.when(attempt >= 4, _pick(digest, i, 255) + 1).when(F.length(o) == 3, _pick(digest, i, 156) + 100).when(F.length(o) == 2, _pick(digest, i, 90) + 10).otherwise(_pick(digest, i, 9) + 1).cast("string")
     )
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
-    code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))", 1)
+    code = F.regexp_extract(value, _COUNTRY_CODE, 0)
     phone = F.concat(code, _shaped(F.substr(value, F.length(code) + 1, F.length(value)), digest), more("0", 10))
     front = _shaped(F.substr(value, F.lit(1), F.length(value) - 1), digest)
     last = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(F.regexp_replace(front, r"\D", ""), d.cast("string"))))
@@ -172,26 +202,28 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 
 def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 50) -> DataFrame:
-    """kind, value, surrogate for each distinct entity (kind, value).
+    """kind, value, surrogate for each distinct mention (kind, value).
 
-    Within a kind no two values share a surrogate, and no surrogate is a value that occurs. Each
+    Mentions with one canonical value have one surrogate, each in its own form. Within a kind no
+    two canonical values share a surrogate, and no surrogate is a value that occurs. Each
     attempt draws for all values without one; of those that draw the same, the smallest wins,
     unless the draw is taken or occurs. The losers draw again. Hashes of the values decide, so runs
     with one key agree on all but such losers.
     """
-    real = materialize(entities.select("kind", "value").distinct())
+    mentions = materialize(entities.select("kind", "value").distinct().withColumn("entity", canonical(F.col("kind"), F.col("value"))))
+    real = materialize(mentions.select("kind", "entity").distinct())
     pending, settled = real, None
     for attempt in range(max_attempts):
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
-        won = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        won = won.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key))
+        won = drawn.groupBy("kind", "drawn").agg(F.min("entity").alias("entity"))
+        won = won.join(real.select("kind", F.col("entity").alias("drawn")), ["kind", "drawn"], "left_anti")
         if settled is not None:
-            won = won.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = materialize(won.select("kind", "value", "surrogate"))
+            won = won.join(settled.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
+        won = materialize(won.select("kind", "entity", "drawn"))
         settled = won if settled is None else settled.union(won)
-        pending = materialize(pending.join(won.select("kind", "value"), ["kind", "value"], "left_anti"))
+        pending = materialize(pending.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if pending.isEmpty():
-            return settled
+            return mentions.join(settled, ["kind", "entity"]).select("kind", "value", laid_out(F.col("kind"), F.col("value"), F.col("drawn")).alias("surrogate"))
     raise RuntimeError(f"no distinct surrogates after {max_attempts} attempts")
 
 
@@ -217,7 +249,10 @@ def _marked(text: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str = "quartzline", count: str | None = None) -> DataFrame:
     """docs with every detected entity in `text` replaced by its surrogate; other columns stay.
 
-    The same entity has the same surrogate everywhere, different ones have different surrogates.
+    The same entity has the same surrogate everywhere, in the form of each mention; different ones
+    have different surrogates. Mentions are of one entity if `canonical` makes them equal: case of
+    addresses, separators of numbers and the dot of a title do not count. A phone number with its
+    country code and one without are two, as are full and last names.
     With `count`, a column of that name tells how many were replaced (one that docs has by that
     name gives way). Null and empty texts stay as they are. Rows are kept one for one, repeated
     ones too. Two marks of the private use area in a text with entities come out as U+FFFD.

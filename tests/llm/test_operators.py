@@ -251,6 +251,26 @@ def test_surrogates_are_distinct(spark):
     assert all(r.surrogate.startswith("Mrs. ") and r.surrogate[-1] == "a" for r in got if r.kind == "name")
 
 
+def test_mentions_of_one_entity(spark):
+    same = [
+        ("Mr Smith", "Mr. Smith"), ("Frau Anna Berg", "Frau. Anna Berg"), ("Jo@x.org", "jo@x.org", "JO@X.ORG"), ("+1 (555) 123-4567", "+1 555-123-4567", "+1.555.123.4567"),
+        ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"), ("NL91ABNA0417164300", "NL91 ABNA 0417 1643 00"), ("3782 822463 10005", "378282246310005"), ("(555) 123-9999", "555.123.9999"),
+    ]
+    mentions = [(i, m) for i, group in enumerate(same) for m in group]
+    rows = [(n, f"Ask {m}, or {m}.") for n, (_, m) in enumerate(mentions)] + [(100, "Ask " + ", or ".join(m for _, m in mentions) + ".")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    whole = re.fullmatch(r"Ask (.*)\.", got[100])[1].split(", or ")
+    entity = defaultdict(set)
+    for n, ((i, m), w) in enumerate(zip(mentions, whole, strict=True)):
+        assert got[n] == f"Ask {w}, or {w}."
+        assert [c for c in m if not c.isalnum()] == [c for c in w if not c.isalnum()]
+        if "@" in m:
+            assert [c.isupper() for c in m] == [c.isupper() for c in w]
+        assert not m.startswith("+1") or w.startswith("+1")
+        entity[i].add(re.sub(r"[^\w@+]", "", w).lower())
+    assert all(len(e) == 1 for e in entity.values()) and len(set.union(*entity.values())) == len(same)
+
+
 def test_surrogates_of_many_names(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     name = lambda i: "A" + "".join(letters[i // 26**k % 26] for k in range(4))
