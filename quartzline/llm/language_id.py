@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: A known language takes so much less than 99 % of its labelled rows have, where it has enough rows beside its landmarks.
+SLACK, ENOUGH = 0.2, 50
 _BUCKETS_LOG2 = 14
 _LETTER: np.ndarray | None = None
 
@@ -54,14 +56,18 @@ def spectrum(text: str | None, orders: int = 3) -> np.ndarray | None:
 class LanguageModel:
     """Landmarks as packed spectra, and for each language the weight of each landmark's kernel.
 
-    Its size is bounded: landmarks x 2 KB and landmarks x languages x 4 bytes.
+    `seen` has the n-grams of each language's landmarks, packed; `least` the share of a text's
+    n-grams among those of some language that it takes to be of a known one, by predicted language.
+    Its size is bounded: (landmarks + languages) x 2 KB and landmarks x languages x 4 bytes.
     """
 
     languages: tuple[str, ...]
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    orders: int = 3
+    orders: int
+    seen: np.ndarray
+    least: np.ndarray
 
 
 def unpacked(packed: np.ndarray) -> np.ndarray:
@@ -73,10 +79,17 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.sqrt(np.maximum(a.sum(1), 1))[:, None] / np.sqrt(np.maximum(b.sum(1), 1))[None, :]
 
 
+def shares(rows: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The share of each row's n-grams that each language's landmarks have."""
+    return (rows @ seen.T) / np.maximum(rows.sum(1), 1)[:, None]
+
+
 def train(packed: np.ndarray, languages: list[str], n_landmarks: int = 128, ridge: float = 0.1, orders: int = 3) -> LanguageModel:
     """Kernel ridge regression in the space of the landmarks, one target of +1 / -1 a language.
 
     Landmarks are taken in turn from each language, in the order of the rows, so that rare ones have some.
+    The least share of known n-grams is SLACK below what 99 % of the other rows have in the language
+    where that is lowest. Languages with fewer than ENOUGH of them have no part in it and reject nothing.
     """
     names = tuple(sorted(set(languages)))
     seen = dict.fromkeys(names, 0)
@@ -84,7 +97,8 @@ def train(packed: np.ndarray, languages: list[str], n_landmarks: int = 128, ridg
     for i, name in enumerate(languages):
         turn.append((seen[name], name, i))
         seen[name] += 1
-    chosen = packed[[i for *_, i in sorted(turn)[:n_landmarks]]]
+    taken = [i for *_, i in sorted(turn)[:n_landmarks]]
+    chosen = packed[taken]
     rows, marks = unpacked(packed), unpacked(chosen)
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
@@ -93,7 +107,13 @@ def train(packed: np.ndarray, languages: list[str], n_landmarks: int = 128, ridg
     targets = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     centred = features - mean
     beta = np.linalg.solve(centred.T @ centred + ridge * np.eye(len(marks)), centred.T @ (targets - targets.mean(0)))
-    return LanguageModel(names, chosen, (root @ beta).astype(np.float32), (targets.mean(0) - mean @ beta).astype(np.float32), orders)
+    of = np.array(languages)
+    seen = np.stack([np.bitwise_or.reduce(chosen[of[taken] == name], axis=0, initial=0) for name in names])
+    known, rest = shares(rows, unpacked(seen)), np.ones(len(of), bool)
+    rest[taken] = False
+    lowest = {name: np.quantile(known[rest & (of == name)].max(1), 0.01) for name in names if (rest & (of == name)).sum() >= ENOUGH}
+    least = np.array([min(lowest.values()) - SLACK if name in lowest else 0.0 for name in names])
+    return LanguageModel(names, chosen, (root @ beta).astype(np.float32), (targets.mean(0) - mean @ beta).astype(np.float32), orders, seen, least)
 
 
 def fit(docs: DataFrame, *, rows_per_language: int = 400, max_rows: int = 4000, n_landmarks: int = 128, orders: int = 3) -> LanguageModel | None:
@@ -133,21 +153,24 @@ class Judge:
         if model is not None:
             self.marks = unpacked(model.landmarks)
             self.norms = np.sqrt(np.maximum(self.marks.sum(1), 1))
+            self.seen = unpacked(model.seen)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score, and whether the text is of a known language at all."""
+        names, scores, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         model = self.model
         if model is None:
-            return names, scores
+            return names, scores, known
         spectra = {i: s for i, text in enumerate(texts) if (s := spectrum(text, model.orders)) is not None}
         if spectra:
             a = np.stack(list(spectra.values())).astype(np.float32)
             k = (a @ self.marks.T) / np.sqrt(a.sum(1))[:, None] / self.norms[None, :]
             f = k @ model.weights + model.bias
             best = f.argmax(1)
-            for i, b, s in zip(spectra, best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), strict=True):
-                names[i], scores[i] = model.languages[b], float(s)
-        return names, scores
+            enough = shares(a, self.seen).max(1) >= model.least[best]
+            for i, b, s, e in zip(spectra, best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), enough, strict=True):
+                names[i], scores[i], known[i] = model.languages[b], float(s), bool(e)
+        return names, scores, known
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256) -> DataFrame:
@@ -163,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
-                names, scores = judge(part.column("text").to_pylist())
+                names, scores, _ = judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
@@ -172,14 +195,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
 
 
 def language_column(model: LanguageModel | None, batch_rows: int = 256):
-    """A column function with the predictions of `identify`: text -> struct(lang_pred, score)."""
+    """A column function with the predictions of `identify`: text -> struct(lang_pred, score, known)."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Judge(model)
         for batch in texts:
             found = [judge(batch.iloc[at : at + batch_rows].tolist()) for at in range(0, len(batch), batch_rows)]
-            yield pd.DataFrame({"lang_pred": [n for names, _ in found for n in names], "score": [s for _, scores in found for s in scores]})
+            yield pd.DataFrame({c: [x for part in found for x in part[i]] for i, c in enumerate(("lang_pred", "score", "known"))})
 
     return predict
 

@@ -370,3 +370,18 @@ def test_pipeline(spark, docs, texts):
     assert all(any(k < d and 100 * len(sets[k] & sets[d]) >= 80 * len(sets[k] | sets[d]) for k in texts) for d in lost) and lost
     assert stage["language ID"](spark, docs, "").where("lang IS NULL").count() == 0
     assert stage["BPE"](spark, docs, "").count() == docs.count()
+
+
+def test_pipeline_rejects_unknown_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    odd = ["Это простой текст на русском языке, который никто не знает. " * 3, "これは日本語の文章です。誰も読めません。" * 3, "To jest zwykły tekst po polsku, którego nikt nie potrafi przeczytać. " * 2]
+    odd.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + " " * (rng.random() < 0.2) for _ in range(400)))
+    rows = [(-1 - i, t, None if i % 2 else "en") for i, t in enumerate(odd)]
+    table = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identified(spark, table, "").select("doc_id").collect()}
+    assert not {r[0] for r in rows} & kept
+    letters = {r.doc_id for r in docs.where(r"text RLIKE '\\p{L}'").select("doc_id").collect()}
+    assert len(letters) > 9000 and kept == letters
