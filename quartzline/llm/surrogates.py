@@ -24,7 +24,9 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# What the patterns begin with, looked for first, as most places of a text have none of it.
+_BEGIN = {"ip": r"\d", "iban": r"[A-Z]{2}\d", "card": r"\d{4}", "ssn": r"\d{3}-", "phone": r"[+(]?\d", "name": "[" + "".join(sorted({t[0] for t in f"{_FEMALE}|{_MALE}|{_EITHER}".split("|")})) + "]"}
+PATTERN = "|".join((f"(?={_BEGIN[k]})" if k in _BEGIN else "") + f"(?:{p})" for k, p in PATTERNS.items())
 
 # Lengths of account numbers by country, as registered; fixed values.
 _IBAN_COUNTRIES = {
