@@ -385,3 +385,11 @@ def test_pipeline_rejects_unknown_languages(spark):
     assert not {r[0] for r in rows} & kept
     letters = {r.doc_id for r in docs.where(r"text RLIKE '\\p{L}'").select("doc_id").collect()}
     assert len(letters) > 9000 and kept == letters
+
+
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words here", None), (2, "Ελλάδα", None), (3, "12 !", None), (4, None, None), (5, "", "en")]
+    got = corpus_pipeline.identified(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(1, None), (2, None)]
