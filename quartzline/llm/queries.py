@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quartzline.llm import blob_ledger, chunk_bpe, language_id, line_cleaning, minhash_dedup, raking, repeated_spans, spot_signatures, surrogates, toxic_grammar
+from quartzline.llm import blob_ledger, byte_bpe, chunk_bpe, language_id, line_cleaning, merkle, minhash_dedup, oracles, raking, repeated_spans, spot_signatures, surrogates, toxic_grammar, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +68,27 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.line_report(_documents(spark, sf_dir))
 
 
+def op11_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's exact deviation as bigint; null where it is beyond one."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_minhash_dedup, op3_raking, op4_surrogates, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op9_repeated_spans, op10_line_cleaning)
+    found = (op1_language_id, op2_minhash_dedup, op3_raking, op4_surrogates, op5_chunk_bpe, op6_blob_ledger, op7_toxic_grammar, op8_spot_signatures, op9_repeated_spans, op10_line_cleaning, op11_fst_bpe, op12_qdwh_whitening, op13_merkle_manifest)
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL, where SQL can express them."""
-    return {}
+    return dict(oracles.SQL)
