@@ -92,34 +92,37 @@ def butterfly(roots: DataFrame, t: Tree) -> DataFrame:
     """
     state = materialize(roots.withColumn("proof", F.array().cast("array<string>")))
     most, step, rounds = state.agg(F.max("blocks")).first()[0] or 1, 1, 0
-    c = F.col
     while step < most:
-        left = _div(c("blocks") + (step - 1), step)
-        node = _div(c("block"), step)
-        first = node - node % t.fanout
-        last = F.least(first + t.fanout, left) - 1
-        size = lambda s, step=step: F.least(F.lit(step), c("blocks") - s * step)
-        offset = c("block") - node * step
-        to = lambda s, step=step, node=node, offset=offset, size=size: F.when(
-            offset < size(s), F.transform(F.sequence(offset, size(s) - 1, size(node)), lambda i: s * step + i)
-        ).otherwise(F.array().cast("array<bigint>"))
-        targets = F.when(left == 1, F.array(c("block"))).otherwise(F.flatten(F.transform(F.sequence(first, last), to)))
-        sent = state.select("grp", "block", "blocks", node.alias("node"), "value", "proof", F.explode(targets).alias("target"))
-        swapped = sent.groupBy("grp", c("target").alias("block")).agg(
-            F.first("blocks").alias("blocks"),
-            F.sort_array(F.collect_list(F.struct("node", "value"))).alias("swap"),
-            F.max(F.when(c("target") == c("block"), c("proof"))).alias("proof"),
-        )
-        own = _div(c("block"), step)
-        siblings = F.transform(F.filter("swap", lambda x, own=own: x["node"] != own), lambda x: x["value"])
-        value = F.when(left == 1, c("swap")[0]["value"]).otherwise(F.sha2(F.array_join(F.transform("swap", lambda x: x["value"]), ""), 256))
-        state = swapped.select("grp", "block", "blocks", value.alias("value"), F.concat("proof", siblings).alias("proof"))
+        state = _swapped(state, step, t.fanout)
         step, rounds = step * t.fanout, rounds + 1
         if rounds % 6 == 0:
             state = materialize(state)
     return materialize(state)
 
 
+def _swapped(state: DataFrame, step: int, fanout: int) -> DataFrame:
+    """One round, in which nodes of `step` blocks become nodes of `fanout` times as many. Groups of one node wait."""
+    c = F.col
+    left = _div(c("blocks") + (step - 1), step)
+    node = _div(c("block"), step)
+    first = node - node % fanout
+    last = F.least(first + fanout, left) - 1
+    size = lambda s: F.least(F.lit(step), c("blocks") - s * step)
+    offset = c("block") - node * step
+    to = lambda s: F.when(offset < size(s), F.transform(F.sequence(offset, size(s) - 1, size(node)), lambda i: s * step + i)).otherwise(F.array().cast("array<bigint>"))
+    targets = F.when(left == 1, F.array(c("block"))).otherwise(F.flatten(F.transform(F.sequence(first, last), to)))
+    sent = state.select("grp", "block", "blocks", node.alias("node"), "value", "proof", F.explode(targets).alias("target"))
+    met = sent.groupBy("grp", c("target").alias("block")).agg(
+        F.first("blocks").alias("blocks"),
+        F.sort_array(F.collect_list(F.struct("node", "value"))).alias("swap"),
+        F.max(F.when(c("target") == c("block"), c("proof"))).alias("proof"),
+    )
+    values = lambda nodes: F.transform(nodes, lambda x: x["value"])
+    siblings = values(F.filter("swap", lambda x: x["node"] != node))
+    value = F.when(left == 1, c("swap")[0]["value"]).otherwise(F.sha2(F.array_join(values("swap"), ""), 256))
+    return met.select("grp", "block", "blocks", value.alias("value"), F.concat("proof", siblings).alias("proof"))
+
+
 def _path(t: Tree, idx: int, n: int, at: int, siblings: list[str], node: str) -> tuple[str, int]:
     """Folds a node up its tree of n leaves with the siblings from number `at` on; the root and the next number."""
     while n > 1:

@@ -40,8 +40,13 @@ def op3_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix_documents(_documents(spark, sf_dir)).drop("text", "n_chars")
 
 
+def surrogate_key() -> str:
+    """The secret behind the surrogates, from QUARTZLINE_SURROGATE_KEY; without it one for trials, which is public."""
+    return os.environ.get("QUARTZLINE_SURROGATE_KEY") or "trial"
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(_documents(spark, sf_dir), count="n_entities").select("doc_id", "n_entities", "text")
+    return surrogates.replace_entities(_documents(spark, sf_dir), surrogate_key(), count="n_entities").select("doc_id", "n_entities", "text")
 
 
 def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from itertools import count as attempts
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.llm.common import materialize
 
 OPEN, CLOSE = "\ue000", "\ue001"
+# What these marks, and the escape itself, are written as where a text has them.
+_ESCAPE = "\ue002"
+_ESCAPED = {_ESCAPE: _ESCAPE + "\ue003", OPEN: _ESCAPE + "\ue004", CLOSE: _ESCAPE + "\ue005"}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles that tell a gender, and others; fixed values.
 _FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Mademoiselle|Señora|Señorita|Sra|Doña|Госпожа|Κυρία"
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
 _EITHER = "Dr|Prof|Professor"
-#: Patterns by kind, in the order in which they are tried at a place; fixed values.
+# Small words within names; fixed values.
+_PARTICLES = "de|la|las|los|del|della|di|da|do|dos|du|des|le|von|vom|van|der|den|zu|zum|zur|ter|ten|bin|ibn|al|el|y|af|av"
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
+_NAME = rf"(?:(?:{_PARTICLES}) ){{0,3}}+(?:\p{{Lu}}\.(?= ?\p{{Lu}})|{_WORD})"
+#: Patterns by kind, in the order in which they are tried at a place; fixed values. No loop over a
+#: group can give back what it took, and none can start anew within what another start has read, so
+#: that long texts of one word take neither stack nor time out of proportion.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@(?=[\p{L}\p{N}-]++\.[\p{N}.-]*+\p{L})[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z]{4})?(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? {_NAME}(?: ?{_NAME}){{0,3}}+(?![\p{{L}}\p{{N}}])",
 }
 # What the patterns begin with, looked for first, as most places of a text have none of it.
 _BEGIN = {"ip": r"\d", "iban": r"[A-Z]{2}\d", "card": r"\d{4}", "ssn": r"\d{3}-", "phone": r"[+(]?\d", "name": "[" + "".join(sorted({t[0] for t in f"{_FEMALE}|{_MALE}|{_EITHER}".split("|")})) + "]"}
@@ -120,13 +131,15 @@ def _shaped(value: Column, digest: Column) -> Column:
 def _name(value: Column, digest: Column, attempt: Column) -> Column:
     """The same title and number of words; invented names of the title's gender and the name's script.
 
-    A word has three syllables and an ending, and one more syllable for each attempt, up to 14.
+    A word has three syllables and an ending, and one more syllable for each attempt, up to 14. Parts
+    joined by a hyphen or an apostrophe are words of their own; initials, capitals, and particles
+    (lower case), which stay, keep the form.
     """
     script = F.when(value.rlike(r"\p{IsCyrillic}"), 1).when(value.rlike(r"\p{IsGreek}"), 2).otherwise(0)
     gender = F.when(value.rlike(f"^(?:{_FEMALE})"), 0).when(value.rlike(f"^(?:{_MALE})"), 1).otherwise(2)
     titles = rf"(?:{_FEMALE}|{_MALE}|{_EITHER})\.?"
     title = F.regexp_extract(value, f"^({titles})", 1)
-    words = F.split(F.trim(F.regexp_replace(value, f"^{titles}", "")), " ")
+    words = F.split(F.trim(F.regexp_replace(value, f"^{titles}", "")), "(?<=[ '’.-])(?=.)|(?=[ '’.-])")
 
     def word(_: Column, i: Column) -> Column:
         own = F.sha2(F.concat_ws("\x1f", digest, i.cast("string")), 256)
@@ -139,17 +152,28 @@ def _name(value: Column, digest: Column, attempt: Column) -> Column:
             out = F.when(script == s, F.concat(F.initcap(F.array_join(syllables, "")), ending)).otherwise(out)
         return out
 
-    return F.concat(title, F.lit(" "), F.array_join(F.transform(words, word), " "))
+    def part(w: Column, i: Column) -> Column:
+        after, before = F.get(words, i + 1), F.when(i > 0, F.get(words, i - 1)).otherwise(F.lit(" "))
+        initial = (F.length(w) == 1) & F.coalesce(after.isin(".", "'", "’"), F.lit(False))
+        return (
+            F.when(~w.rlike(r"\p{Lu}"), w)
+            .when(initial, F.substr(word(w, i), F.lit(1), F.lit(1)))
+            .when((F.length(w) > 1) & (F.upper(w) == w), F.upper(word(w, i)))
+            .when(before.isin("-", "'", "’"), F.initcap(word(w, i)))
+            .otherwise(word(w, i))
+        )
+
+    return F.concat(title, F.lit(" "), F.array_join(F.transform(words, part), ""))
 
 
 def canonical(kind: Column, value: Column) -> Column:
     """What all mentions of one entity have in common.
 
-    Addresses in lower case, titles without a dot, numbers without separators (phone numbers keep a
+    Addresses in lower case and without marks before them, titles without a dot, numbers without separators (phone numbers keep a
     plus sign). IPs and all else stay.
     """
     number = F.regexp_replace(value, "[^A-Z0-9+]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("iban", "card", "ssn", "phone"), number).when(kind == "name", F.regexp_replace(value, r"\. ", " ")).otherwise(value)
+    return F.when(kind == "email", F.regexp_replace(F.lower(value), "^[._%+-]+", "")).when(kind.isin("iban", "card", "ssn", "phone"), number).when(kind == "name", F.regexp_replace(value, r"^(\p{L}+)\. ", "$1 ")).otherwise(value)
 
 
 def laid_out(kind: Column, value: Column, drawn: Column) -> Column:
@@ -159,8 +183,10 @@ def laid_out(kind: Column, value: Column, drawn: Column) -> Column:
     """
     chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
     cased = lambda like, text: F.array_join(F.transform(chars(text), lambda c, i: F.when(F.substr(like, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
-    side = lambda at: cased(F.substring_index(value, "@", at), F.substring_index(drawn, "@", at))
-    email = F.concat(side(1), F.lit("@"), side(-1))
+    front = F.regexp_extract(value, "^[._%+-]*", 0)
+    own = F.substr(value, F.length(front) + 1, F.length(value))
+    side = lambda at: cased(F.substring_index(own, "@", at), F.substring_index(drawn, "@", at))
+    email = F.concat(front, side(1), F.lit("@"), side(-1))
     plain = F.regexp_replace(drawn, "[^A-Z0-9]", "")
     before = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^A-Z0-9]", ""))
     places = F.transform(chars(value), lambda c, i: F.when(c.rlike("^[A-Z0-9]$"), F.substr(plain, before(i) + 1, F.lit(1))).otherwise(c))
@@ -203,19 +229,20 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 50) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate for each distinct mention (kind, value).
 
     Mentions with one canonical value have one surrogate, each in its own form. Within a kind no
     two canonical values share a surrogate, and no surrogate is a value that occurs. Each
     attempt draws for all values without one; of those that draw the same, the smallest wins,
     unless the draw is taken or occurs. The losers draw again. Hashes of the values decide, so runs
-    with one key agree on all but such losers.
+    with one key agree on all but such losers. Forms grow with the attempts (`surrogate`), so every
+    value gets one in the end.
     """
     mentions = materialize(entities.select("kind", "value").distinct().withColumn("entity", canonical(F.col("kind"), F.col("value"))))
     real = materialize(mentions.select("kind", "entity").distinct())
     pending, settled = real, None
-    for attempt in range(max_attempts):
+    for attempt in attempts():
         drawn = pending.withColumn("drawn", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key))
         won = drawn.groupBy("kind", "drawn").agg(F.min("entity").alias("entity"))
         won = won.join(real.select("kind", F.col("entity").alias("drawn")), ["kind", "drawn"], "left_anti")
@@ -226,52 +253,60 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 50) -> Da
         pending = materialize(pending.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if pending.isEmpty():
             return mentions.join(settled, ["kind", "entity"]).select("kind", "value", laid_out(F.col("kind"), F.col("value"), F.col("drawn")).alias("surrogate"))
-    raise RuntimeError(f"no distinct surrogates after {max_attempts} attempts")
-
-
-def _has_entity(text: Column) -> Column:
-    """Whether a pattern matches, or a candidate with right check digits is there."""
-    return text.rlike(PATTERN) | (text.rlike(CANDIDATE) & F.exists(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _confirmed))
 
 
 def _marked(text: Column) -> Column:
-    """A text with marks around its entities; our marks in the text itself become replacement characters.
+    """A text with marks around its entities; marks of our own in the text itself are escaped.
 
     Candidates that their check digits do not confirm are searched for entities like other text.
     """
     mark = f"{OPEN}$0{CLOSE}"
-    clean = F.regexp_replace(text, f"[{OPEN}{CLOSE}]", "\ufffd")
+    clean = text
+    for c, code in _ESCAPED.items():
+        clean = F.replace(clean, F.lit(c), F.lit(code))
+    clean = F.when(text.rlike(f"[{''.join(_ESCAPED)}]"), clean).otherwise(text)
     tried = F.split(F.regexp_replace(clean, f"(?:{PATTERNS['email']})|{CANDIDATE}", mark), OPEN)
     checked = F.transform(tried, lambda p, i: F.when((i > 0) & _confirmed(F.substring_index(p, CLOSE, 1)), F.concat(F.lit(OPEN), p)).otherwise(F.translate(p, CLOSE, "")))
-    twice = F.regexp_replace(F.array_join(checked, ""), f"{OPEN}[^{CLOSE}]*{CLOSE}|{PATTERN}", mark)
+    twice = F.regexp_replace(F.array_join(checked, ""), f"{OPEN}[^{CLOSE}]*+{CLOSE}|{PATTERN}", mark)
     once = F.regexp_replace(F.regexp_replace(twice, OPEN * 2, OPEN), CLOSE * 2, CLOSE)
     return F.when(clean.rlike(CANDIDATE), once).otherwise(F.regexp_replace(clean, PATTERN, mark))
 
 
-def replace_entities(docs: DataFrame, key: str = "quartzline", count: str | None = None) -> DataFrame:
+def _plain(text: Column) -> Column:
+    """A text with the escapes of `_marked` undone."""
+    out = text
+    for c, code in reversed(_ESCAPED.items()):
+        out = F.replace(out, F.lit(code), F.lit(c))
+    return F.when(F.instr(text, _ESCAPE) > 0, out).otherwise(text)
+
+
+def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """docs with every detected entity in `text` replaced by its surrogate; other columns stay.
 
     The same entity has the same surrogate everywhere, in the form of each mention; different ones
     have different surrogates. Mentions are of one entity if `canonical` makes them equal: case of
     addresses, separators of numbers and the dot of a title do not count. A phone number with its
-    country code and one without are two, as are full and last names.
+    country code and one without are two, as are full and last names. Who has `key` can draw the same
+    surrogates, so it is to be kept as a secret.
     With `count`, a column of that name tells how many were replaced (one that docs has by that
     name gives way). Null and empty texts stay as they are. Rows are kept one for one, repeated
-    ones too. Two marks of the private use area in a text with entities come out as U+FFFD.
+    ones too. All other characters stay.
 
-    Only texts with an entity are taken apart: their pieces are written to the shared folder, the
-    entities are joined with the table of surrogates, whose hot values Spark's skew handling
-    splits, and the pieces are put together again by row. All other rows pass without a shuffle.
+    Each text is searched once; all rows are written to the shared folder, those with entities cut
+    into pieces. The entities are joined with the table of surrogates, whose hot values Spark's skew
+    handling splits, and the pieces are put together again by row. All other rows pass without a shuffle.
     """
     if count:
         docs = docs.drop(count)
     columns = docs.columns
-    has = F.coalesce(_has_entity(F.col("text")), F.lit(False))
     others = [F.col(f"`{c}`") for c in columns if c != "text"]
-    numbered = docs.where(has).select(F.monotonically_increasing_id().alias("row"), F.struct(*others, F.lit(0).alias("_")).alias("rest"), F.split(_marked(F.col("text")), OPEN).alias("split"))
-    row = numbered.select("row", "rest", F.posexplode("split").alias("i", "piece"))
+    marked = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("rest"), F.col("text").alias("text"), F.split(_marked(F.col("text").cast("string")), OPEN).alias("split"))
+    # arrays of one piece have no entity: the text itself stands for them
+    cut = F.when(F.size("split") > 1, F.col("split"))
+    staged = materialize(marked.select("rest", F.when(cut.isNull(), F.col("text")).alias("text"), cut.alias("split")).withColumn("row", F.monotonically_increasing_id()))
+    row = staged.where("split IS NOT NULL").select("row", "rest", F.posexplode("split").alias("i", "piece"))
     entity = F.when(F.col("i") > 0, F.substring_index("piece", CLOSE, 1))
-    plain = F.when(F.col("i") > 0, F.substr("piece", F.length(entity) + 2, F.length("piece"))).otherwise(F.col("piece"))
+    plain = _plain(F.when(F.col("i") > 0, F.substr("piece", F.length(entity) + 2, F.length("piece"))).otherwise(F.col("piece")))
     pieces = row.select("row", "i", F.when(F.col("i") == 0, F.col("rest")).alias("rest"), kind_of(entity).alias("kind"), entity.alias("value"), plain.alias("plain"))
     pieces = materialize(pieces)
     found = pieces.where("value IS NOT NULL")
@@ -281,8 +316,8 @@ def replace_entities(docs: DataFrame, key: str = "quartzline", count: str | None
         F.first("rest", ignorenulls=True).alias("rest"),
         F.sort_array(F.collect_list(F.struct("i", F.concat(F.coalesce("surrogate", F.lit("")), "plain").alias("s")))).alias("parts"),
     )
-    text = F.array_join(F.transform("parts", lambda p: p["s"]), "")
     n = (F.size("parts") - 1).cast("bigint")
-    done = whole.select(*((text.alias("text") if c == "text" else F.col(f"rest.`{c}`").alias(c)) for c in columns), *([n.alias(count)] if count else []))
-    same = docs.where(~has)
-    return same.select(*(F.col(f"`{c}`") for c in columns), *([F.lit(0).cast("bigint").alias(count)] if count else [])).union(done)
+    done = whole.select("rest", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("text"), n.alias("n"))
+    same = staged.where("split IS NULL").select("rest", "text", F.lit(0).cast("bigint").alias("n"))
+    out = [(F.col("text") if c == "text" else F.col(f"rest.`{c}`")).alias(c) for c in columns]
+    return same.union(done).select(*out, *([F.col("n").alias(count)] if count else []))

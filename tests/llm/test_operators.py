@@ -230,7 +230,7 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_surrogates(docs, texts):
-    rows = surrogates.replace_entities(docs, count="n_entities").collect()
+    rows = surrogates.replace_entities(docs, "k", count="n_entities").collect()
     assert len(rows) == docs.count()
     assert set(rows[0].asDict()) == {*docs.columns, "n_entities"}
     for r in rows:
@@ -258,7 +258,7 @@ def test_mentions_of_one_entity(spark):
     ]
     mentions = [(i, m) for i, group in enumerate(same) for m in group]
     rows = [(n, f"Ask {m}, or {m}.") for n, (_, m) in enumerate(mentions)] + [(100, "Ask " + ", or ".join(m for _, m in mentions) + ".")]
-    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()}
     whole = re.fullmatch(r"Ask (.*)\.", got[100])[1].split(", or ")
     entity = defaultdict(set)
     for n, ((i, m), w) in enumerate(zip(mentions, whole, strict=True)):
@@ -290,7 +290,7 @@ def test_account_and_card_numbers(spark):
     wrong = ["NL92ABNA0417164300", "IT61X0542811101000000123456", "378282246310006", "3782 822463 10006"]
     rows = [(i, f"Pay {n} EUR or PAID 12, see {n}.") for i, n in enumerate(numbers + wrong)]
     rows += [(99, "ask 378282246310005@mail.example.org, NL92 ABNA 4111 1111 1111 1111 now")]
-    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k", count="n").collect()}
     for i, n in enumerate(numbers):
         shape = re.escape(re.sub("[A-Z]", "A", re.sub(r"\d", "0", n))).replace("A", "[A-Z]").replace("0", r"\d")
         found = re.fullmatch(rf"Pay ({shape}) EUR or PAID 12, see ({shape})\.", got[i].text)
@@ -332,7 +332,7 @@ def test_empty_tables(spark, empty):
     assert language_id.language_report(empty).count() == 0
     assert minhash_dedup.near_components(empty).count() == 0
     assert raking.mix_documents(empty).count() == 0
-    assert surrogates.replace_entities(empty).count() == 0
+    assert surrogates.replace_entities(empty, "k").count() == 0
     assert chunk_bpe.encode_documents(empty, queries.tokenizer_path()).count() == 0
     assert blob_ledger.secret_report(empty).count() == 0
     assert toxic_grammar.toxicity_report(empty, labels).count() == 0
@@ -352,7 +352,7 @@ def test_null_ids(spark):
     assert blob_ledger.secret_report(docs).count() == 4
     assert language_id.language_report(docs).count() == 4
     assert raking.mix_documents(docs).count() == 4
-    assert "x.y@z" not in " ".join(r.text or "" for r in surrogates.replace_entities(docs).collect())
+    assert "x.y@z" not in " ".join(r.text or "" for r in surrogates.replace_entities(docs, "k").collect())
 
 
 def test_pipeline(spark, docs, texts):
