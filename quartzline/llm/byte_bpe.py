@@ -4,15 +4,18 @@ Of all ways to cut a string into tokens, the one that the merges give is the onl
 two neighbours alone merge back into just these two. (The first merge across a border would be the
 lowest one between these neighbours as well.) So a nondeterministic transducer reads tokens byte by
 byte, and may pass from one to the next where the pair is such a couple. Determinised, a state is
-the last token emitted, and each token sequence still possible after it together with the trie node
-of the bytes read beyond it; where few tokens are below that node, one of them must fit. What all sequences begin with is emitted at once, which happens within
-a bounded number of bytes, as a sequence dies when no token goes on with the bytes read.
+each token sequence still possible after what was emitted, its last token, and the trie node of the
+bytes read beyond it; where few tokens are below that node, one of them must fit. What all sequences
+begin with is emitted at once, which happens within a bounded number of bytes, as a sequence dies when
+no token goes on with the bytes read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -22,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MAX_STATES = 300_000
-_CACHE_PIECES = 100_000
+_MAX_STATES = 600_000
+_CACHE_PIECES = 300_000
 _CACHED_BYTES = 64
 _AT_ONCE = 1 << 16
 _NONE = 1 << 62
@@ -70,7 +73,7 @@ class Transducer:
                     if len(found) > _FEW:
                         self.few[node] = None
                 node = self.children[node << 8 | b]
-        self.couples: dict[tuple[int, int], bool] = {}
+        self.couples: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -79,7 +82,7 @@ class Transducer:
         #: state << 8 | byte -> next state, inverted where something is emitted
         self.steps: dict[int, int] = {}
         self.emitted: dict[int, Path] = {}
-        self.start = self._number((-1, (((), 0),)))
+        self.start = self._number(((-1, (), 0),))
 
     def _number(self, state: tuple) -> int:
         number = self.numbers.setdefault(state, len(self.states))
@@ -104,42 +107,47 @@ class Transducer:
 
     def couple(self, left: int, right: int) -> bool:
         """Whether two tokens, side by side, are what the merges make of their bytes (left -1: none before)."""
-        found = self.couples.get((left, right))
+        key = left << 32 | right
+        found = self.couples.get(key)
         if found is None:
-            if len(self.couples) > 2 * _MAX_STATES:
+            if len(self.couples) > _MAX_STATES:
                 self.couples.clear()
             pair = [self.tokens[t] for t in (left, right) if t >= 0]
-            found = self.couples[left, right] = self.merged(b"".join(pair)) == pair
+            found = self.couples[key] = self.merged(b"".join(pair)) == pair
         return found
 
     def _step(self, key: int) -> int:
         """Makes a transition, and the state that it leads to."""
-        byte = key & 255
-        last, live = self.states[key >> 8]
-        children, token_at, inner = self.children, self.token_at, self.inner
-        after: list[tuple[Path, int]] = []
-        whole: Path | None = None
-        for path, node in live:
-            below = children.get(node << 8 | byte)
+        byte, couple, after, whole = key & 255, self.couple, [], None
+        for before, path, node in self.states[key >> 8]:
+            below = self.children.get(node << 8 | byte)
             if below is None:
                 continue
-            before = path[-1] if path else last
-            if inner[below] and ((few := self.few[below]) is None or any(self.couple(before, t) for t in few)):
-                after.append((path, below))
+            if self.inner[below]:
+                few = self.few[below]
+                if few is None:
+                    after.append((before, path, below))
+                else:
+                    for token in few:
+                        if couple(before, token):
+                            after.append((before, path, below))
+                            break
             # just one, as each string has one tokenization
-            if whole is None and (token := token_at[below]) >= 0 and self.couple(before, token):
+            if whole is None and (token := self.token_at[below]) >= 0 and couple(before, token):
                 whole = (*path, token)
         if whole is None:
             raise AssertionError("a string without a tokenization")
-        after.append((whole, 0))
-        n, shortest = 0, min(len(path) for path, _ in after)
-        while n < shortest and all(path[n] == whole[n] for path, _ in after):
-            n += 1
+        n = 0
+        for n, token in enumerate(whole):  # noqa: B007
+            if any(len(path) <= n or path[n] != token for _, path, _ in after):
+                break
+        else:
+            n = len(whole)
         if n:
-            last = whole[n - 1]
-            after = [(path[n:], node) for path, node in after]
+            after = [(before, path[n:], node) for before, path, node in after]
             self.emitted[key] = whole[:n]
-        to = self._number((last, tuple(after)))
+        after.append((whole[-1], whole[n:], 0))
+        to = self._number(tuple(after))
         self.steps[key] = found = ~to if n else to
         return found
 
@@ -156,10 +164,18 @@ class Transducer:
             if state < 0:
                 state = ~state
                 out += self.emitted[key]
-        out += self.states[state][1][-1][0]
+        out += self.states[state][-1][1]
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoding:
     """A rank file and the pattern that splits texts before the merges.
 
@@ -187,7 +203,7 @@ class Encoding:
             return found
         raw = piece.encode()
         whole = self.ranks.get(raw)
-        found = np.array([whole] if whole is not None else self.transducer(raw), "<u4").tobytes()
+        found = _packed([whole] if whole is not None else self.transducer(raw))
         if len(raw) <= _CACHED_BYTES:
             if len(self.known) >= _CACHE_PIECES:
                 self.older, self.known = self.known, {}
@@ -201,7 +217,8 @@ class Encoding:
         while True:
             # long texts are not cut up as a whole
             pieces = self.pattern.findall(text) if len(text) < _AT_ONCE else [m.group() for m in islice(matches, _AT_ONCE)]
-            yield b"".join([self.known.get(p) or ids(p) for p in pieces])
+            known = self.known  # which a full table replaces; until then it only misses what is new
+            yield b"".join([known.get(p) or ids(p) for p in pieces])
             if len(text) < _AT_ONCE or len(pieces) < _AT_ONCE:
                 return
 

@@ -6,20 +6,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzline.llm.common import text_slices
+
 UNKNOWN = "und"
-#: A known language takes so much less than 99 % of its labelled rows have, where it has enough rows beside its landmarks.
-SLACK, ENOUGH = 0.2, 50
+#: A known language takes so much less than 99 % of its labelled rows have.
+SLACK = 0.3
 _BUCKETS_LOG2 = 14
 _LETTER: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """Which code points of the basic plane are letters; those above it count as letters."""
+    """Which code points of the basic plane are letters."""
     global _LETTER
     if _LETTER is None:
         _LETTER = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
@@ -32,9 +34,9 @@ def spectrum(text: str | None, orders: int = 3) -> np.ndarray | None:
     Case is folded; each run of other characters is one word break. None if there is no letter.
     """
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = np.ones(len(codes), bool)
-    low = codes < 1 << 16
-    letter[low] = _letters()[codes[low]]
+    letter = _letters()[np.minimum(codes, (1 << 16) - 1)]
+    for c in np.unique(codes[codes >= 1 << 16]).tolist():
+        letter[codes == c] = chr(c).isalpha()
     if not letter.any():
         return None
     codes = np.where(letter, codes, np.uint32(32))
@@ -88,8 +90,9 @@ def train(packed: np.ndarray, languages: list[str], n_landmarks: int = 128, ridg
     """Kernel ridge regression in the space of the landmarks, one target of +1 / -1 a language.
 
     Landmarks are taken in turn from each language, in the order of the rows, so that rare ones have some.
-    The least share of known n-grams is SLACK below what 99 % of the other rows have in the language
-    where that is lowest. Languages with fewer than ENOUGH of them have no part in it and reject nothing.
+    The least share of known n-grams of a language is SLACK below what 99 % of its rows have, where a
+    landmark is held against the language's others. So a language with few rows asks for little, and one
+    with a single row for nothing.
     """
     names = tuple(sorted(set(languages)))
     seen = dict.fromkeys(names, 0)
@@ -109,10 +112,13 @@ def train(packed: np.ndarray, languages: list[str], n_landmarks: int = 128, ridg
     beta = np.linalg.solve(centred.T @ centred + ridge * np.eye(len(marks)), centred.T @ (targets - targets.mean(0)))
     of = np.array(languages)
     seen = np.stack([np.bitwise_or.reduce(chosen[of[taken] == name], axis=0, initial=0) for name in names])
-    known, rest = shares(rows, unpacked(seen)), np.ones(len(of), bool)
-    rest[taken] = False
-    lowest = {name: np.quantile(known[rest & (of == name)].max(1), 0.01) for name in names if (rest & (of == name)).sum() >= ENOUGH}
-    least = np.array([min(lowest.values()) - SLACK if name in lowest else 0.0 for name in names])
+    bits = unpacked(seen)
+    known = shares(rows, bits)
+    for place, i in enumerate(taken):
+        own = names.index(languages[i])
+        fellows = np.bitwise_or.reduce(chosen[(of[taken] == languages[i]) & (np.arange(len(taken)) != place)], axis=0, initial=0)
+        known[i, own] = (marks[place] @ unpacked(np.broadcast_to(fellows, (1, packed.shape[1])).astype(np.uint8))[0]) / max(marks[place].sum(), 1)
+    least = np.array([np.quantile(known[of == name].max(1), 0.01) - SLACK for name in names])
     return LanguageModel(names, chosen, (root @ beta).astype(np.float32), (targets.mean(0) - mean @ beta).astype(np.float32), orders, seen, least)
 
 
@@ -120,14 +126,15 @@ def fit(docs: DataFrame, *, rows_per_language: int = 400, max_rows: int = 4000,
     """Fits on a bounded sample: `rows_per_language` labelled rows of each language, `max_rows` in all.
 
     `docs` has doc_id, text and lang. The rows of a language with the smallest hashes of doc_id are
-    taken; only ids are ranked, with the limit applied before the shuffle. Spectra of whole texts
-    are made on the executors and come to the driver as 2 KB each. Rows without lang or letters
-    teach nothing; None without any row to learn from.
+    taken (equal ones by a hash of the text); only ids are ranked, with the limit applied before the
+    shuffle. Spectra of whole texts are made on the executors and come to the driver as 2 KB each.
+    Rows without lang or letters teach nothing and take no place; None without any row to learn from.
     """
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = named.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language)
-    ids = ranked.orderBy("rank", "lang").limit(max_rows).select("doc_id", "rank")
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    named = docs.where(lang.isNotNull() & text.rlike(r"\p{L}")).select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    ranked = named.select("doc_id", "lang", "hash").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language)
+    ids = ranked.orderBy("rank", "lang").limit(max_rows).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), F.col("hash").alias("h"), "rank")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +144,10 @@ def fit(docs: DataFrame, *, rows_per_language: int = 400, max_rows: int = 4000,
                 ["lang", "rank", "bits"],
             )
 
-    sample = named.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-    rows = sample.mapInArrow(encode, "lang string, rank int, bits binary").limit(2 * max_rows).collect()
-    rows = sorted(rows, key=lambda r: (r.rank, r.lang, bytes(r.bits)))
+    sample = named.join(F.broadcast(ids), F.expr("doc_id <=> d AND lang = l AND hash = h")).select("lang", "rank", "text")
+    # rows that repeat are joined with each of their ranks: one stays
+    rows = sample.mapInArrow(encode, "lang string, rank int, bits binary").groupBy("lang", "rank").agg(F.min("bits").alias("bits")).collect()
+    rows = sorted(rows, key=lambda r: (r.rank, r.lang))
     if not rows:
         return None
     return train(np.stack([np.frombuffer(r.bits, np.uint8) for r in rows]), [r.lang for r in rows], n_landmarks, orders=orders)
@@ -173,6 +181,14 @@ class Judge:
         return names, scores, known
 
 
+def _judged(batch: pa.RecordBatch, judge: Judge, batch_rows: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[bool]]]:
+    """Runs of rows with about a megabyte of text, `batch_rows` at most, and their predictions."""
+    for part, *_ in text_slices(batch):
+        for at in range(0, part.num_rows, batch_rows):
+            rows = part.slice(at, batch_rows)
+            yield rows, *judge(rows.column("text").to_pylist())
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each whole text; one row out for each row in.
 
@@ -184,27 +200,29 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                names, scores, _ = judge(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
-                )
+            for rows, names, scores, _ in _judged(batch, judge, batch_rows):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def language_column(model: LanguageModel | None, batch_rows: int = 256):
-    """A column function with the predictions of `identify`: text -> struct(lang_pred, score, known)."""
+def keep_known(docs: DataFrame, model: LanguageModel, batch_rows: int = 256) -> DataFrame:
+    """The rows of docs whose text is of a known language, with `lang` filled in where it is null.
 
-    @F.pandas_udf("lang_pred string, score double, known boolean")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    One pass over whole rows without a shuffle. Other columns stay as they are.
+    """
+    whole = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c in ("text", "lang") else F.col(f"`{c}`") for c in docs.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model)
-        for batch in texts:
-            found = [judge(batch.iloc[at : at + batch_rows].tolist()) for at in range(0, len(batch), batch_rows)]
-            yield pd.DataFrame({c: [x for part in found for x in part[i]] for i, c in enumerate(("lang_pred", "score", "known"))})
+        for batch in batches:
+            for rows, names, _, known in _judged(batch, judge, batch_rows):
+                at = rows.schema.get_field_index("lang")
+                filled = pc.coalesce(rows.column(at), pa.array(names, rows.column(at).type))
+                columns = [filled if i == at else c for i, c in enumerate(rows.columns)]
+                yield pa.RecordBatch.from_arrays(columns, rows.schema.names).filter(pa.array(known, pa.bool_()))
 
-    return predict
+    return whole.mapInArrow(run, whole.schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

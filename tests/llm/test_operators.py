@@ -176,6 +176,42 @@ def test_language_report(spark, docs):
     assert und == {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
 
 
+def test_letters_of_all_planes(spark):
+    texts = ["😀😀", "🙂 12", "𝟘𝟙", "𐌰𐌱𐌲", "𝐀", "x", "٣", "ª", "ʰ", "\u0345", "中"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, f"plain words {i}") for i in range(20)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r.lang_pred for r in language_id.language_report(docs).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
+
+
+def test_language_model_against_dense_kernels():
+    """The batched scores equal kernel ridge regression written out, pair by pair."""
+    import numpy as np
+
+    texts = ["the cat sat on the mat", "a dog is in the house", "der hund ist im haus", "die katze liegt auf der matte", "le chat est sur le lit", "un chien dans la maison"]
+    langs = ["en", "en", "de", "de", "fr", "fr"]
+    bits = [language_id.spectrum(t) for t in texts]
+    model = language_id.train(np.stack([np.packbits(b) for b in bits]), langs, n_landmarks=6)
+    sets = [set(np.flatnonzero(b)) for b in bits]
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    gram = np.array([[k(a, b) for b in sets] for a in sets])
+    y = np.where(np.array(langs)[:, None] == np.array(sorted(set(langs)))[None], 1.0, -1.0)
+    centre = np.eye(6) - 1 / 6
+    alpha = np.linalg.solve(centre @ gram @ centre + 0.1 * np.eye(6), centre @ (y - y.mean(0)))
+    new = set(np.flatnonzero(language_id.spectrum("the dog on the mat")))
+    row = np.array([k(new, b) for b in sets])
+    f = (row - gram.mean(0)) @ centre @ alpha + y.mean(0)
+    names, scores, _ = language_id.Judge(model)(["the dog on the mat"])
+    assert names == [sorted(set(langs))[f.argmax()]] == ["en"]
+    assert scores[0] == pytest.approx(min(max((f.max() + 1) / 2, 0), 1), abs=1e-3)
+
+
+def test_language_sample_does_not_depend_on_order(spark):
+    rows = [(i % 7, f"text {'abc'[i % 3]} of {i % 11} words", ("en", "de")[i % 2]) for i in range(200)] + [(None, "12 !", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit(d, rows_per_language=20, n_landmarks=8) for d in (docs.repartition(3), docs.orderBy(F.desc("text")).repartition(5)))
+    assert (one.landmarks == two.landmarks).all() and (one.weights == two.weights).all()
+
+
 def test_language_accuracy(spark):
     sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in sample.collect()}
