@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        check_kind(self.tokenizer.to_str())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -99,6 +101,24 @@ class Coder:
         return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, self.wide).tolist())).decode()
 
 
+def check_kind(definition: str) -> None:
+    """Fails for a tokenizer that words cannot be encoded by, one by one: its steps must be those below."""
+    found = json.loads(definition)
+    steps = {
+        "normalizer": [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)],
+        "pre_tokenizer": [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}), ("ByteLevel", None)],
+    }
+    wrong = [name for name in ("decoder", "post_processor") if found[name] is not None]
+    for name, wanted in steps.items():
+        step = found[name] or {}
+        if [(x["type"], x.get("pattern")) for x in step.get("normalizers") or step.get("pretokenizers") or []] != wanted:
+            wrong.append(name)
+    if found["model"]["type"] != "BPE" or found["model"].get("dropout") or found["model"].get("unk_token"):
+        wrong.append("model")
+    if wrong:
+        raise ValueError(f"not a tokenizer that folds case and drops white space: {', '.join(wrong)}")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from 256 up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -29,15 +29,22 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share.
+    """A new folder name below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
-    Only where that setting is missing, as in tests on one machine, a temporary folder serves.
+    Only where that setting is missing on a single machine, as in tests, a temporary folder serves; on a
+    cluster each executor would write to its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quartzline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quartzline-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quartzline-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
