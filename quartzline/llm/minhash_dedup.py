@@ -37,6 +37,10 @@ class Settings:
         return self.bands * self.rows
 
 
+#: A set: a document that has it, its number, its name.
+_PLACE = ("doc_id", "node", "set_a", "set_b")
+
+
 def least_matches(s: Settings) -> list[tuple[int, int]]:
     """For each number of compared places, the least matches at which a pair stays.
 
@@ -74,6 +78,11 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_name(found: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set of hashes, as two signed integers."""
+    return tuple(int(np.array(x.sum(dtype=np.uint64)).view(np.int64)) for x in (found, mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
+
+
 def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set (set_a, set_b) and its signature, for each row."""
 
@@ -84,11 +93,11 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
                 n, x, y, sig = [], [], [], []
                 for found in shingle_hashes(*word_hashes(data, offsets), s.words):
                     n.append(len(found))
-                    x.append(found.sum(dtype=np.uint64))
-                    y.append(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+                    for column, half in zip((x, y), set_name(found), strict=True):
+                        column.append(half)
                     sig.append(signature(found, a, b).tobytes() if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(np.array(y, np.uint64).view(np.int64)), pa.array(sig, pa.binary())],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(sig, pa.binary())],
                     ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
@@ -115,15 +124,20 @@ def band_rows(sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node and shingles, the sorted 64-bit hashes as bytes, of the texts whose doc_id is in `wanted`."""
+    """node and shingles, the sorted 64-bit hashes as bytes, of the sets in `wanted` (doc_id, node, set_a, set_b).
+
+    A set is rebuilt from the text of its doc_id, of several texts from the one that has it.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch):
-                found = [x.tobytes() for x in shingle_hashes(*word_hashes(data, offsets), s.words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
+                sets = shingle_hashes(*word_hashes(data, offsets), s.words)
+                names = zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True)
+                right = [i for i, (x, name) in enumerate(zip(sets, names, strict=True)) if set_name(x) == name]
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["node", "shingles"])
 
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "set_a", "set_b", "text")
     return materialize(texts.mapInArrow(build, "node bigint, shingles binary").dropDuplicates(["node"]))
 
 
@@ -159,12 +173,18 @@ def prefix_pairs(members: DataFrame, whole: DataFrame, s: Settings) -> DataFrame
     asked = F.expr(f"cast(greatest(n - ({t} * n + {d - 1}) div {d} + 1 - (n - size(held)), 0) as int)")
     first = known.select("node", "label", "n", own.alias("own"), F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), asked)).alias("pos", "x"))
     first = materialize(first.select("node", "label", "n", F.col("x.h").alias("h"), (F.col("pos") < F.col("own")).alias("own"), (F.col("m") - F.col("pos")).alias("left")))
+    # members of one label meet nowhere: labels are paired first, then each side joins its own label
+    labels = first.groupBy("h", "label").agg(F.max("own").alias("own"))
+    several = labels.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    labels = labels.join(several, "h")
+    facing = labels.where("own").select("h", F.col("label").alias("label_a")).join(labels.select("h", F.col("label").alias("label_b")), "h").where("label_a <> label_b")
     small = first.where("own").select("h", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
     large = first.select("h", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     enough = F.least("left_a", "left_b") * (t + d) >= (F.col("n_a") + F.col("n_b")) * t
-    fits = order & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * d >= F.col("n_b") * t) & enough
-    return small.join(large, "h").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = order & (F.col("n_a") * d >= F.col("n_b") * t) & enough
+    met = small.join(facing, ["h", "label_a"]).join(large, ["h", "label_b"])
+    return met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings, whole: DataFrame | None = None) -> DataFrame:
@@ -194,7 +214,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings, w
 
     survivors = materialize(compared.mapInArrow(prune, "a bigint, b bigint"))
     if whole is None:
-        whole = shingle_rows(docs, survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), s)
+        asked = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        whole = shingle_rows(docs, nodes.join(asked, "node").select(*_PLACE), s)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +238,9 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     Words are runs of non-separators, A-Z lower-cased; a text with fewer words than a shingle is one
     shingle; null texts and texts without words have none and are linked with nothing. Rows with a
     null doc_id stay, unlinked, with a null component, and are kept. Rows that repeat a doc_id share
-    its component; the one with the larger set names it.
+    its component, and so do all texts near any of theirs.
 
-    Equal sets are one node, named by the smallest doc_id and found by aggregation, so copies cost
-    nothing further. The other links come from buckets of equal bands. Inside a bucket no pairs are
+    Equal sets are one node, found by aggregation, so copies cost nothing further. The other links come from buckets of equal bands. Inside a bucket no pairs are
     emitted at large: all members are first compared with a pivot, the member with most company in
     all its buckets, which is the original of many near copies. Members of buckets that still hold different
     components are paired between components, where they share one of their rarest shingles
@@ -231,9 +251,8 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = materialize(shingle_sets(texts, s))
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    first = classes.select("node", "set_a", "set_b")
-    nodes = materialize(named.join(first, (named.doc_id == first.node) & (named.set_a == first.set_a) & (named.set_b == first.set_b)).select("node", "n_shingles", "signature").dropDuplicates(["node"]))
+    classes = materialize(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = materialize(named.join(classes, ["doc_id", "set_a", "set_b"]).select(*_PLACE, "n_shingles", "signature").dropDuplicates(["node"]))
 
     bands = band_rows(nodes, s)
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -246,17 +265,29 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     edges = verified(tried, nodes, texts, s)
 
     rest = materialize(_unsettled(members.select("node", "bucket"), components(edges)))
-    whole = shingle_rows(texts, rest.select(F.col("node").alias("doc_id")), s)
+    whole = shingle_rows(texts, nodes.join(rest, "node").select(*_PLACE), s)
     pairs = materialize(prefix_pairs(rest, whole, s).join(tried, ["a", "b"], "left_anti"))
-    labels = components(edges.union(verified(pairs, nodes, texts, s, whole)))
+    edges = edges.union(verified(pairs, nodes, texts, s, whole)).union(_same_document(named, classes))
+    labels = components(edges)
 
-    joined = classes.join(labels, "node", "left").select("set_a", "set_b", "node", F.coalesce("component", "node").alias("component_id"))
+    joined = classes.join(labels, "node", "left").select("set_a", "set_b", "doc_id", F.coalesce("component", "node").alias("label"))
+    least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    joined = joined.join(least, "label").select("set_a", "set_b", "component_id")
     known = sets.join(joined, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
+    # a text without shingles is linked with nothing, not even with another of its doc_id
     return known.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
+def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the sets of rows that share a doc_id."""
+    several = named.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high")).where("low <> high").select("doc_id")
+    held = named.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node")
+    hubs = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(hubs, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """node and label (its component) of those members of buckets that lie in more than one component."""
     known = members.join(labels, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("label"))

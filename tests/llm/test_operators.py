@@ -82,6 +82,32 @@ def test_near_components(docs, texts, k):
     assert {tuple(r) for r in got} == {(d, len(sets[d]), group[d], group[d] == d) for d in texts}
 
 
+def test_near_components_of_repeated_ids(spark):
+    """Rows that share a doc_id are one document: whatever their order, links of each of its texts count."""
+    a, b = ("".join(f"{w}{i} " for i in range(40)) for w in "ab")
+    rows = [(1, a), (1, b), (2, b + "end"), (3, a + "end"), (4, "other words of its own here"), (5, None), (5, b), (None, a)]
+    for k in range(3):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(1 + k)
+        got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_components(docs).collect())
+        assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 5, True)]
+
+
+def test_prefix_pairs_between_labels(spark):
+    """All pairs of different labels that reach the threshold, also where one label has most members."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    sets, labels = {}, {}
+    for node in range(60):
+        sets[node] = {*rng.sample(base, 27), *(rng.getrandbits(63) for _ in range(rng.randrange(4)))}
+        labels[node] = 0 if node < 40 else node
+    import numpy as np
+
+    whole = spark.createDataFrame([(n, bytearray(np.array(sorted(x), np.uint64).tobytes())) for n, x in sets.items()], "node long, shingles binary")
+    got = {(r.a, r.b) for r in minhash_dedup.prefix_pairs(spark.createDataFrame(list(labels.items()), "node long, label long"), whole, minhash_dedup.Settings()).collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and labels[a] != labels[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near and near <= got and all(labels[a] != labels[b] for a, b in got)
+
+
 def test_sequential_bounds():
     limits = minhash_dedup.least_matches(minhash_dedup.Settings())
     assert [n for n, _ in limits] == [32, 64, 96, 128]
