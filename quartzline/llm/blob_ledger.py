@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartzline.llm.common import materialize
+
+_FINDINGS = "array<struct<start:int,end:int,kind:string,rule:string>>"
 #: Marks put around matches; they are replaced in the text beforehand, one for one.
 OPEN, MIDDLE, CLOSE = "\ue000", "\ue001", "\ue002"
 
@@ -75,73 +79,84 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(f"{rule.prefix}(?:{rule.value})"), walked).otherwise(start["found"])
 
 
+def rule_version(rule: Rule) -> str:
+    """A name for a rule as it is; any change to it changes the name."""
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
+
+
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Findings of each blob: `findings` array of struct(start, place, kind, end), sorted.
+    """Findings of each blob by the rules whose versions are in its column `todo`.
 
-    `place` is the rule's place in the list. Marks of our own in a text are replaced by a character
-    that no rule matches, which moves nothing.
+    Returns blob, rules (the versions, from `todo`) and findings, an array of struct(start, end, kind, rule).
+    Marks of our own in a text are replaced by a character that no rule matches, which moves nothing.
     """
     blobs = blobs.withColumn("text", F.translate(F.coalesce("text", F.lit("")), OPEN + MIDDLE + CLOSE, "�" * 3))
 
-    def found(place: int, rule: Rule) -> Column:
-        return F.transform(
-            spans_of(F.col("text"), rule),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")),
-        )
-
-    spans = [found(i, rule) for i, rule in enumerate(rules)]
-    return blobs.select("blob", F.sort_array(F.concat(*spans)).alias("findings"))
+    def found(rule: Rule) -> Column:
+        version = rule_version(rule)
+        spans = F.transform(spans_of(F.col("text"), rule), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.lit(version).alias("rule")))
+        return F.when(F.array_contains("todo", version), spans).otherwise(F.array().cast(_FINDINGS))
 
-
-def rule_version(rules: Sequence[Rule]) -> str:
-    """One name for a list of rules; any change to a pattern changes it."""
-    import hashlib
-
-    return hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]
+    return blobs.select("blob", F.col("todo").alias("rules"), F.concat(*map(found, rules)).alias("findings"))
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scans the contents that no earlier run has scanned with these rules.
+    """Scans the pairs of contents and rule versions that no earlier run has scanned.
 
     `docs` has one row for each path and version: doc_id (the path's key) and text. `ledger` has
-    the rows of earlier runs: blob (SHA-256 of the text), rules (their version), findings.
-    Returns (paths, new): `paths` is doc_id and blob of each row of docs; `new` is the ledger's
-    new rows, one for each distinct blob without a row of these rules. Append them to the ledger.
+    the rows of earlier runs: blob (SHA-256 of the text), rules (the versions of the rules it was scanned
+    by), findings. Returns (paths, new): `paths` is doc_id and blob of each row of docs; `new` is the
+    ledger's new rows, one for each distinct blob that lacks a rule, with the rules it lacked. Append
+    them to the ledger. So a changed rule is run on all blobs, and no other rule with it.
 
     A null text is the empty blob. Of equal texts one is scanned: the smallest doc_id is found by
     an aggregation over keys alone, and only its text travels, once, dealt by doc_id; a hot blob
     therefore costs no more than another. Rows that repeat a doc_id are handled: they are dealt
     together, and each blob still is scanned once.
     """
-    version = rule_version(rules)
+    versions = F.array(*(F.lit(rule_version(r)) for r in rules))
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
     paths = texts.select("doc_id", "blob")
-    owners = paths.groupBy("blob").agg(F.min("doc_id").alias("owner"))
+    owners = paths.groupBy("blob").agg(F.min("doc_id").alias("owner")).withColumn("todo", versions)
     if ledger is not None:
-        owners = owners.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    owned = owners.select("blob", F.coalesce("owner", F.lit(-(2**63))).alias("key")).hint("shuffle_hash")
-    unseen = texts.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(owned, ["key", "blob"], "left_semi")
-    new = scan_blobs(unseen, rules).dropDuplicates(["blob"])
-    return paths, new.select("blob", F.lit(version).alias("rules"), "findings")
+        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        left = F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>")))
+        owners = owners.join(seen, "blob", "left").select("blob", "owner", left.alias("todo")).where(F.size("todo") > 0)
+    owned = owners.select("blob", "todo", F.coalesce("owner", F.lit(-(2**63))).alias("key")).hint("shuffle_hash")
+    unseen = texts.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(owned, ["key", "blob"])
+    return paths, scan_blobs(unseen, rules).dropDuplicates(["blob"])
 
 
-def findings_by_path(paths: DataFrame, ledger: DataFrame) -> DataFrame:
+def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Joins findings back to all paths: doc_id, blob, findings (empty where there are none).
 
-    Only blobs with findings are joined; a hot blob's paths are split by Spark's skew handling.
+    `findings` is an array of struct(start, place, kind, end), sorted, where place is the rule's in the list;
+    those of versions that are no longer in it are left out. Only blobs with findings are joined; a hot
+    blob's paths are split by Spark's skew handling.
     """
-    hits = ledger.where(F.size("findings") > 0).select("blob", "findings")
+    versions = F.array(*(F.lit(rule_version(r)) for r in rules))
+    each = ledger.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).withColumn("place", F.array_position(versions, F.col("f.rule")) - 1)
+    listed = F.sort_array(F.collect_list(F.struct("f.start", F.col("place").cast("int").alias("place"), "f.kind", "f.end")))
+    hits = each.where("place >= 0").groupBy("blob").agg(listed.alias("findings"))
     empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
     return paths.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Digest per row of docs: counts of the base kinds, a hash of the base spans, and all spans."""
-    paths, ledger = update_ledger(docs)
-    found = findings_by_path(paths, ledger)
+    """Digest per row of docs: counts of the base kinds, a hash of the base spans, and all spans.
+
+    The ledger grows by two runs: the older half of the documents, by doc_id, is scanned by the base rules;
+    then all of them by all rules, of which the older contents lack the further ones only. Null ids are
+    of the second run; where all ids are null, all are.
+    """
+    middle = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), 0.5).alias("m")).first().m
+    older = docs.where(F.col("doc_id").cast("bigint") <= F.lit(middle).cast("bigint"))
+    ledger = materialize(update_ledger(older, None, BASE_RULES)[1])
+    paths, new = update_ledger(docs, ledger, RULES)
+    found = findings_by_path(paths, ledger.unionByName(materialize(new)))
     base = len(BASE_RULES)
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
