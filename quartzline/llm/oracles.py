@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quartzline.llm import line_cleaning
+
 _MERKLE = """
 WITH RECURSIVE
 field AS (
@@ -61,4 +63,90 @@ JOIN placed p ON p.g = c.g AND p.idx = c.start
 JOIN subroot s ON s.g = c.g, (SELECT h FROM upper WHERE n = 1) r
 """
 
-SQL = {"op13_merkle_manifest": _MERKLE}
+_NEAR = r"""
+WITH RECURSIVE
+worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+    SELECT doc_id,
+           CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+    FROM worded
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(l.b, s.doc_id), s.doc_id) AS component_id,
+       coalesce(least(l.b, s.doc_id), s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN least l ON l.a = s.doc_id
+"""
+
+# windows of 400 bytes as 800 hexadecimal digits
+_REPEATS = r"""
+WITH texts AS (SELECT doc_id, lower(hex(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+    SELECT doc_id, x.s AS s, x.h AS h
+    FROM (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 399, 1000), lambda i: {'s': i, 'h': substr(h, 2 * i::INT + 1, 2798)})) AS x FROM texts)
+),
+windows AS (
+    SELECT doc_id, s + x.p AS p, x.name AS name
+    FROM (SELECT doc_id, s, unnest(list_transform(range(0, length(h) // 2 - 399), lambda i: {'p': i, 'name': md5(substr(h, 2 * i::INT + 1, 800))})) AS x FROM pieces)
+),
+twice AS (SELECT name FROM windows GROUP BY name HAVING count(*) > 1),
+starts AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prior FROM windows WHERE name IN (SELECT name FROM twice)),
+runs AS (SELECT doc_id, p, sum(CASE WHEN prior IS NULL OR p > prior + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY doc_id, run),
+ordered AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+cut AS (
+    SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+           string_agg(substr(h, 2 * from_::INT + 1, 2 * (a - from_)::INT), '' ORDER BY a)
+           || max(CASE WHEN next IS NULL THEN substr(h, 2 * b::INT + 1) ELSE '' END) AS kept
+    FROM ordered JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT t.doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(c.kept, t.h))) AS kept_sha256,
+       CASE WHEN t.h = '' THEN 0 ELSE coalesce(c.n_removed, 0)::DOUBLE / (length(t.h) // 2) END AS removed_share
+FROM texts t LEFT JOIN cut c USING (doc_id)
+"""
+
+_PHRASES = " OR ".join(f"contains(low, '{p}')" for p in line_cleaning.BOILERPLATE)
+_LINES = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS held
+    FROM documents
+),
+lines AS (SELECT doc_id, line, lower(line) AS low, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+                 len(regexp_extract_all(line, '[|»«›‹•·]')) AS marks, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols
+          FROM (SELECT doc_id, unnest(list_distinct(held)) AS line FROM texts)),
+passed AS (
+    SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines
+    WHERE NOT ((marks >= 2 AND marks * 4 >= words) OR (symbols >= 2 AND symbols * 3 >= words)
+               OR (words < 4 AND NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]\x20\x09-\x0D]*$'))
+               OR (words <= 40 AND ({_PHRASES})))
+    GROUP BY doc_id
+),
+runs AS (
+    SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.k) AS n
+    FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'k': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) AS x FROM texts)
+),
+repeated AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM runs WHERE n > 1) GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(held) - len(list_distinct(held)))::BIGINT AS n_dup_lines,
+           coalesce(r.n, 0)::BIGINT AS n_repeat_words, (len(held) - coalesce(p.n, 0))::BIGINT AS lines_failed, coalesce(p.chars, 0)::BIGINT AS kept_word_chars
+    FROM texts LEFT JOIN passed p USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_word_chars > 0 AND kept_word_chars * 100 >= word_chars * 50 AS kept
+FROM counted
+"""
+
+SQL = {"op2_minhash_dedup": _NEAR, "op9_repeated_spans": _REPEATS, "op10_line_cleaning": _LINES, "op13_merkle_manifest": _MERKLE}

@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, spans: Spans | None = None, output: str = "d
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents, and are judged on the
     input. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256, or
-    with output "bytes" the remaining bytes as `kept`. One row out for each row in; a text that
+    with output "bytes" the remaining bytes as `kept`, and removed_share (of the bytes; 0 of none). One row out for each row in; a text that
     occurs twice, in rows that repeat a doc_id too, loses all its bytes if it has `length` of them.
     """
     s = spans or Spans()
@@ -282,4 +282,5 @@ def remove_repeats(docs: DataFrame, spans: Spans | None = None, output: str = "d
             )
 
     last = "kept" if bytes_out else "kept_sha256"
-    return joined.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'binary' if bytes_out else 'string'}")
+    cleaned = joined.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'binary' if bytes_out else 'string'}")
+    return cleaned.withColumn("removed_share", F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0))
