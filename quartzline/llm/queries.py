@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quartzline.llm import blob_ledger, byte_bpe, chunk_bpe, language_id, line_cleaning, merkle, minhash_dedup, oracles, raking, repeated_spans, spot_signatures, surrogates, toxic_grammar, whitening
 
 
+#: Languages at set shares, sources evened out by half, topics alike.
+TARGET_MIX = raking.Mix(exponents={"source": 0.5, "lang": 1.0, "topic": 0.0}, shares={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}})
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
@@ -37,7 +41,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.mix_documents(_documents(spark, sf_dir)).drop("text", "n_chars")
+    return raking.mix_documents(_documents(spark, sf_dir), TARGET_MIX).drop("text", "n_chars")
 
 
 def surrogate_key() -> str:

@@ -403,6 +403,7 @@ def test_raking_meets_the_margins(spark):
     mix = raking.Mix()
     got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix).collect()
     total = sum(c[3] for c in cells)
+    assert {r.gap for r in got} and max(r.gap for r in got) < 1e-4
     for d, e in mix.exponents.items():
         tokens, weight = Counter(), Counter()
         for r in got:
@@ -413,6 +414,52 @@ def test_raking_meets_the_margins(spark):
             assert weight[v] == pytest.approx(raw[v] / sum(raw.values()) * total, rel=1e-4)
 
 
+def test_raking_against_plain_loops(spark):
+    """Set shares, and margins that contradict each other: the gap that is left is told."""
+    cells = [("a", "x", "1", 100), ("a", "y", "2", 300), ("b", "x", "2", 50), ("c", "y", "1", 70), ("c", "x", "1", 20)]
+    mix = raking.Mix(exponents={"source": 0.0, "lang": 1.0, "topic": 0.5}, shares={"lang": {"x": 0.7, "y": 0.3}}, sweeps=25)
+    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix).collect()
+    weight, total = {c[:3]: float(c[3]) for c in cells}, sum(c[3] for c in cells)
+    targets = []
+    for i, name in enumerate(("source", "lang", "topic")):
+        raw = {v: mix.shares.get(name, {}).get(v, (sum(c[3] for c in cells if c[i] == v) / total) ** mix.exponents[name]) for v in {c[i] for c in cells}}
+        targets.append({v: x / sum(raw.values()) * total for v, x in raw.items()})
+    for _ in range(25):
+        for i in range(3):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[i]] += w
+            weight = {c: w * targets[i][c[i]] / sums[c[i]] for c, w in weight.items()}
+    for r in got:
+        assert r.weight == pytest.approx(weight[r.source, r.lang, r.topic], rel=1e-6)
+    gap = max(abs(sum(w for c, w in weight.items() if c[i] == v) / t - 1) for i in range(3) for v, t in targets[i].items())
+    assert gap > 1e-3 and got[0].gap == pytest.approx(gap, rel=1e-3)
+
+
+def test_calibration_takes_cells_whole(spark):
+    cells = [("a", "x", str(i), 10 ** (i % 4 + 1), float(10 ** (3 - i % 4) * (i + 1))) for i in range(40)]
+    got = raking.calibrate(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, weight double"), 0.9).collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(0.9 * sum(r.tokens for r in got), rel=1e-9)
+    part = [r for r in got if r.probability < 1]
+    assert part and len({round(r.probability * r.tokens / r.weight, 9) for r in part}) == 1 and all(r.probability <= 1 for r in got)
+
+
+def test_topics_are_found(spark):
+    rng = random.Random(6)
+    words = [[f"{t}{i}" for i in range(60)] for t in ("sea", "sun", "ore")]
+    rows = [(i, " ".join(rng.choice(words[i % 3]) if rng.random() < 0.8 else f"any{rng.randrange(40)}" for _ in range(80))) for i in range(240)] + [(900, None), (901, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "topic": F.lit("mine")})
+    got = raking.mix_documents(docs, raking.Mix(topics=3, topic_rows=60)).collect()
+    groups = defaultdict(set)
+    for r in got:
+        assert r.topic == "mine"
+        if r.doc_id < 900:
+            groups[r.doc_id % 3].add(r.topic_)
+        else:
+            assert (r.topic_, r.tokens, r.weight, r.sampled) == (0, 0, 0.0, False)
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == 3
+
+
 def test_mix_documents(docs, empty):
     rows = raking.mix_documents(docs, prefix="mix_").collect()
     assert len(rows) == docs.count()
