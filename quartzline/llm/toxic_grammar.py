@@ -7,10 +7,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzline.llm.common import RangeHash, materialize
@@ -19,7 +20,13 @@ from quartzline.llm.common import RangeHash, materialize
 TARGETS = "you your you're he she they them him her this that tu toi vous ton ta votre il elle ils du dich dir ihr euch dein sie er tú te ti usted ustedes él ella ellos".split()
 NEGATIONS = "not no never none nobody isn't aren't wasn't don't pas jamais aucun ni nicht kein keine nie niemals nunca jamás ningún ninguna".split()
 REPORTS = "said says say told wrote quoted called reported dit disait déclare écrit appelle sagte sagt schrieb nannte berichtet dijo dice escribió llamó".split()
-THREATS = "kill killing murder destroy shoot stab strangle tuer égorger frapper töten umbringen erschießen matar matarte golpear".split()
+VIOLENCE = (
+    "kill kills killing murder destroy shoot stab strangle beat crush burn hang hurt smash"
+    " tuer tuerai tue égorger frapper frapperai brûler étrangler écraser"
+    " töten töte umbringen erschießen erschieße schlagen verprügeln erwürgen verbrennen"
+    " matar mataré matarte golpear golpearé quemar estrangular aplastar"
+).split()
+INTENTS = "will i'll we'll gonna going shall werde werden wird vais va allons voy va vamos".split()
 
 #: A letter is any byte of a UTF-8 letter here: ASCII letters and all bytes from 128 up.
 _LETTER = np.zeros(256, bool)
@@ -43,7 +50,7 @@ class Transducer:
         return self.rules.get((state, symbol)) or (self.rest.get(state, state), symbol, 1.0)
 
 
-SYMBOLS = ("word", "insult", "threat", "target", "negation", "report")
+SYMBOLS = ("word", "insult", "violence", "target", "negation", "report", "intent", "threat")
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -63,19 +70,39 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 
 def negation(scope: int = 3, factor: float = 0.25) -> Transducer:
-    """Insults and threats up to `scope` words after a negation count less."""
+    """Up to `scope` words after a negation insults count less and acts of violence are words like others."""
     rules = {(s, "negation"): (scope, "word", 1.0) for s in range(scope + 1)}
-    rules |= {(s, x): (s - 1, x, factor) for s in range(1, scope + 1) for x in ("insult", "threat")}
+    rules |= {(s, "insult"): (s - 1, "insult", factor) for s in range(1, scope + 1)}
+    rules |= {(s, "violence"): (s - 1, "word", 1.0) for s in range(1, scope + 1)}
     return Transducer(0, rules, {s: s - 1 for s in range(1, scope + 1)})
 
 
 def reported_speech(factor: float = 0.5) -> Transducer:
-    """After a verb of saying, to the end of the clause, insults and threats count less."""
+    """After a verb of saying, to the end of the clause, whatever insults and threats come of a word count less."""
     rules = {(s, "report"): (1, "word", 1.0) for s in (0, 1)}
-    rules |= {(1, x): (1, x, factor) for x in ("insult", "threat")}
+    rules |= {(1, x): (1, x, factor) for x in ("insult", "violence", "target")}
     return Transducer(0, rules, {})
 
 
+def insult(reach: int = 4, alone: float = 0.6) -> Transducer:
+    """An insulting word is an insult in full up to `reach` words after someone it is said of, else in part."""
+    rules = {(s, "target"): (reach, "target", 1.0) for s in range(reach + 1)}
+    rules |= {(0, "insult"): (0, "insult", alone)}
+    rules |= {(s, "insult"): (s - 1, "insult", 1.0) for s in range(1, reach + 1)}
+    return Transducer(0, rules, {s: s - 1 for s in range(1, reach + 1)})
+
+
+def threat(reach: int = 4, alone: float = 0.2) -> Transducer:
+    """An act of violence is a threat where an intent comes up to `reach` words before, or its target up to `reach` after.
+
+    Alone it counts little. States above 0 await the act, those below it its target.
+    """
+    rules = {(s, "intent"): (reach, "word", 1.0) for s in range(-reach, reach + 1)}
+    rules |= {(s, "violence"): (-reach, "threat", 1.0 if s > 0 else alone) for s in range(-reach, reach + 1)}
+    rules |= {(s, "target"): (0, "threat", 1.0) for s in range(-reach, 0)}
+    return Transducer(0, rules, {s: s - 1 if s > 0 else s + 1 for s in range(-reach, reach + 1) if s})
+
+
 def target(reach: int = 3, factor: float = 1.5) -> Transducer:
     """Insults and threats up to `reach` words after someone they can be aimed at count more."""
     rules = {(s, "target"): (reach, "word", 1.0) for s in range(reach + 1)}
@@ -83,13 +110,22 @@ def target(reach: int = 3, factor: float = 1.5) -> Transducer:
     return Transducer(0, rules, {s: s - 1 for s in range(1, reach + 1)})
 
 
+def parts() -> list[Transducer]:
+    """The grammar's transducers, in the order in which each reads what the one before it puts out."""
+    return [negation(), reported_speech(), insult(), threat(), target()]
+
+
 def grammar() -> Transducer:
-    return compose(compose(negation(), reported_speech()), target())
+    return reduce(compose, parts())
+
+
+#: What a threat weighs, as the closed classes have no learned weight.
+_THREAT = 2.0
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of insult words and stems, with the closed classes; at most `max_entries` learned."""
+    """Weights of insult words and stems, with the closed classes."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -103,9 +139,10 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.machine = grammar()
         entries = [(w, 1, x) for w, x in lexicon.words.items()]
-        entries += [(w, 2, 2.0) for w in THREATS if w not in lexicon.words]
-        taken = set(lexicon.words) | set(THREATS)
-        entries += [(w, k, 0.0) for k, group in ((3, TARGETS), (4, NEGATIONS), (5, REPORTS)) for w in group if w not in taken]
+        taken = set(lexicon.words)
+        for kind, group in (("violence", VIOLENCE), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("intent", INTENTS)):
+            entries += [(w, SYMBOLS.index(kind), 0.0) for w in sorted(set(group) - taken)]
+            taken |= set(group)
         self.tables = [(0, *self._table(entries))]
         by_length: dict[int, list] = {}
         for stem, weight in lexicon.stems.items():
@@ -153,8 +190,8 @@ class Matcher:
                     insults += w * factor
                     total += w * factor
                 elif out == "threat":
-                    threats += w * factor
-                    total += w * factor
+                    threats += _THREAT * factor
+                    total += _THREAT * factor
             worst = max(worst, total)
         return insults, worst, threats
 
@@ -170,21 +207,21 @@ def _terms(text: str, least: int = _SHORT, most: int = _LONG) -> Iterator[tuple[
 
 def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> DataFrame:
     labelled = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("rank", rank)
-    chosen = chosen.where((F.col("rank") <= max(positives, negatives)) & (F.col("rank") <= F.when(F.col("label") == 1, positives).otherwise(negatives)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    known = labelled.join(docs.select("doc_id"), "doc_id", "left_semi")
+    # the best of each partition meet, not all rows of a label
+    chosen = reduce(DataFrame.union, (known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, positives), (0, negatives))))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negatives: int = 6000, max_entries: int = 2000, max_candidates: int = 20000, evidence: float = 25.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negatives: int = 6000, evidence: float = 25.0) -> Lexicon:
     """Learns the insult terminals and the score from a bounded sample of labelled rows.
 
     The sample has `positives` rows of label 1 and `negatives` of label 0 at most, those with the
     smallest hashes of doc_id. Words and word stems are counted once for each text, on the
     executors, equal texts as one; those far commoner in toxic texts, by a likelihood ratio of
-    `evidence` or more, are candidates (`max_candidates` at most). They become terminals, weighted by
+    `evidence` or more, are candidates. They become terminals, weighted by
     their log-odds, if the ratio holds for the number of different contexts too, so that the rare
-    words of one much copied text don't: `max_entries` at most. Null texts or labels teach
+    words of one much copied text don't. Their number is bounded by the sample alone. Null texts or labels teach
     nothing; without a row of both labels the lexicon is empty.
     """
     sample = _sample(docs.where(F.col("text").isNotNull()), labels, positives, negatives)
@@ -212,8 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negatives:
     ratio = 2 * (likely(F.col("pos"), p) + likely(F.col("neg"), n) - both * F.log(both / (p + n)))
     odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
     rows = counts.where("pos >= 3").withColumns({"ratio": ratio, "odds": odds}).where((F.col("ratio") >= evidence) & (F.col("odds") >= 2.5))
-    first = rows.orderBy(F.desc("ratio"), F.desc("pos"), "stem", F.length("term"), "term").limit(max_candidates).collect()
-    wanted = {(r.stem, r.term): r for r in first}
+    wanted = {(r.stem, r.term): r for r in rows.collect()}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = set()
@@ -242,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 3000, negatives:
         ratio = 2 * (pos * math.log((pos + 1e-9) / p) + c.neg * math.log((c.neg + 1e-9) / n) - both * math.log(both / (p + n)))
         if ratio >= evidence and odds >= 2.5:
             ranked.append((-ratio, -pos, r.stem, len(r.term), r.term, odds))
-    for *_, stem, _, term, odds in sorted(ranked)[:max_entries]:
+    for *_, stem, _, term, odds in sorted(ranked):
         covered = any(term.startswith(x) for x in stems) or term in words
         if stem and not any(x.startswith(term) for x in [*stems, *words]) and not covered:
             stems[term] = odds

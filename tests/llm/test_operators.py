@@ -309,9 +309,59 @@ def test_grammar():
     plain = found.features("what a fool")[0]
     assert found.features("you fool")[0] > plain > found.features("he said fool")[0] * 0.7
     assert found.features("you are not a fool")[0] < plain
-    assert found.features("idiotic. never. fool")[0] == 7.0
-    assert found.features("I will kill you")[2] > 0
+    assert found.features("idiotic. never. fool")[0] == pytest.approx(7.0 * 0.6)
+    threat = lambda text: found.features(text)[2]
+    assert threat("I will kill you") > threat("they kill time") > 0
+    assert threat("kill you") > threat("kill time")
+    assert threat("I will not kill you") == 0 < threat("he said I will kill you") < threat("I will kill you")
+    assert threat("ich werde dich töten") > threat("töten") and threat("je vais te tuer") > threat("tuer") and threat("voy a matarte") > threat("matar")
     assert found.features(None) == found.features("") == (0.0, 0.0, 0.0)
+    # the worst clause, not the sum over the text
+    assert found.features("you fool. you fool.")[1] == found.features("you fool.")[1] < found.features("you fool you fool.")[1]
+
+
+def test_composed_grammar_equals_its_parts():
+    """The composed machine against the transducers run one after another over whole sequences."""
+    rng = random.Random(8)
+    machine = toxic_grammar.grammar()
+    for _ in range(500):
+        symbols = [rng.choice(toxic_grammar.SYMBOLS[:-1]) for _ in range(rng.randrange(1, 12))]
+        tape = [(x, 1.0) for x in symbols]
+        for part in toxic_grammar.parts():
+            state, after = part.start, []
+            for x, f in tape:
+                state, out, factor = part.step(state, x)
+                after.append((out, f * factor))
+            tape = after
+        state, got = machine.start, []
+        for x in symbols:
+            state, out, factor = machine.step(state, x)
+            got.append((out, factor))
+        assert [x for x, _ in got] == [x for x, _ in tape] and [f for _, f in got] == pytest.approx([f for _, f in tape])
+
+
+def test_features_against_words(spark):
+    """Insults, worst clause and threats against a plain reading word by word."""
+    lexicon = toxic_grammar.Lexicon({"fool": 4.0, "dolt": 2.0}, {"idio": 3.0})
+    found, machine = toxic_grammar.Matcher(lexicon), toxic_grammar.grammar()
+    rng = random.Random(7)
+    vocabulary = "fool dolt idiotic idiom you they not said kill will a the time . ! ; naïve Fool".split()
+    for _ in range(200):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30)))
+        insults = worst = threats = 0.0
+        for clause in re.split(r"[.!?;:\n]", text.lower()):
+            state, total = machine.start, 0.0
+            for w in re.findall(r"[^\W\d_']+", clause):
+                kind, weight = "word", 0.0
+                if w in lexicon.words or w.startswith("idio"):
+                    kind, weight = "insult", lexicon.words.get(w, 3.0)
+                for name, group in (("violence", toxic_grammar.VIOLENCE), ("target", toxic_grammar.TARGETS), ("negation", toxic_grammar.NEGATIONS), ("report", toxic_grammar.REPORTS), ("intent", toxic_grammar.INTENTS)):
+                    kind = name if kind == "word" and w in group else kind
+                state, out, factor = machine.step(state, kind)
+                gain = factor * {"insult": weight, "threat": 2.0}.get(out, 0.0)
+                insults, threats, total = insults + gain * (out == "insult"), threats + gain * (out == "threat"), total + gain
+            worst = max(worst, total)
+        assert found.features(text) == pytest.approx((insults, worst, threats)), text
 
 
 def test_toxicity(spark, docs, empty):
