@@ -38,7 +38,9 @@ class Spans:
         return self.length - self.stride + 1
 
 
-_KEY = ["key", "text_hash"]
+# A text by its hash and its size in bytes, and a row of it.
+_TEXT = ["text_hash", "text_size"]
+_KEY = ["key", *_TEXT]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -47,6 +49,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("key"),
         F.xxhash64(text).alias("text_hash"),
+        F.octet_length(text).alias("text_size"),
         text.alias("text"),
     )
 
@@ -95,26 +98,26 @@ def _blocks(data: np.ndarray, s: Spans) -> tuple[np.ndarray, ...]:
 
 
 def block_rows(texts: DataFrame, s: Spans) -> DataFrame:
-    """One row for each block of each text: core, context, key, text_hash, start, starts, at."""
+    """One row for each block of each text: core, context, key, text_hash, text_size, start, starts, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch):
-                columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-                keys, hashes = (part.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
+                columns: list[list[np.ndarray]] = [[] for _ in names]
+                keys, hashes, sizes = (part.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
                 for i in range(part.num_rows):
                     # long texts in overlapping pieces; a window lies in exactly one
                     for begin in range(int(offsets[i]), int(offsets[i + 1]) - s.length + 1, _PIECE):
                         piece = data[begin : min(begin + _PIECE + s.length - 1, int(offsets[i + 1]))]
                         core, context, first, count, at = _blocks(piece, s)
                         shift = begin - int(offsets[i])
-                        for column, x in zip(columns, (core.view(np.int64), context.view(np.int64), np.full(len(core), keys[i]), np.full(len(core), hashes[i]), first + shift, count, at + shift), strict=True):
+                        for column, x in zip(columns, (core.view(np.int64), context.view(np.int64), np.full(len(core), keys[i]), np.full(len(core), hashes[i]), np.full(len(core), sizes[i]), first + shift, count, at + shift), strict=True):
                             column.append(x)
-                arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), kind) for c, kind in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 3, strict=True)]
+                arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), kind) for c, kind in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 4, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["core", "context", *_KEY, "start", "starts", "at"]
-    return texts.select(*_KEY, "text").mapInArrow(run, "core bigint, context bigint, key bigint, text_hash bigint, start int, starts int, at int")
+    return texts.select(*_KEY, "text").mapInArrow(run, "core bigint, context bigint, key bigint, text_hash bigint, text_size int, start int, starts int, at int")
 
 
 def sorted_names(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -126,27 +129,27 @@ def sorted_names(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 
 def difference_cover_spans(hits: DataFrame, s: Spans) -> DataFrame:
-    """Spans of texts that occur again: key, text_hash, begin, end (bytes, end exclusive).
+    """Spans of texts that occur again: key, text_hash, text_size, begin, end (bytes, end exclusive).
 
     `hits` are the blocks that occur twice or more. The symbol of a block is its core and the
     distance to the next block's core, if they overlap; equal symbols in a row then mean equal bytes
     from the first core's start to the last core's end. Texts that are equal count as one, twice:
     all their bytes are repeated.
     """
-    copies = hits.select(*_KEY).distinct().groupBy("text_hash").agg(F.count("*").alias("n"))
-    line = Window.partitionBy("text_hash").orderBy("start", "at")
-    one = hits.groupBy("text_hash", "start").agg(F.first("at").alias("at"), F.first("core").alias("core"))
+    copies = hits.select(*_KEY).distinct().groupBy(*_TEXT).agg(F.count("*").alias("n"))
+    line = Window.partitionBy(*_TEXT).orderBy("start", "at")
+    one = hits.groupBy(*_TEXT, "start").agg(F.first("at").alias("at"), F.first("core").alias("core"))
     gap = F.lead("at").over(line) - F.col("at")
-    string = one.select("text_hash", "start", "at", "core", (F.row_number().over(line) - 1).alias("i"), F.when(gap.between(1, s.core), gap).otherwise(0).alias("gap"))
+    string = one.select(*_TEXT, "start", "at", "core", (F.row_number().over(line) - 1).alias("i"), F.when(gap.between(1, s.core), gap).otherwise(0).alias("gap"))
     string = materialize(sorted_names(string, ["core", "gap"], "symbol"))
-    place = Window.partitionBy("text_hash").orderBy("i")
+    place = Window.partitionBy(*_TEXT).orderBy("i")
     ahead = lambda c, k: F.coalesce(F.lead(c, k).over(place), F.lit(0))
 
     # sample: positions 1 and 2 modulo 3; names of their triples, and names of triples of those names
     triples = string.select("*", *(ahead("symbol", k).alias(f"t{k}") for k in range(3)), *(ahead("gap", k).alias(f"g{k}") for k in range(9)))
     sample = triples.where("i % 3 <> 0 AND t1 > 0 AND t2 > 0 AND g0 > 0 AND g1 > 0")
-    named = sorted_names(sample.select("text_hash", "i", "t0", "t1", "t2"), ["t0", "t1", "t2"], "name").select("text_hash", "i", "name")
-    ranked = materialize(triples.join(named, ["text_hash", "i"], "left"))
+    named = sorted_names(sample.select(*_TEXT, "i", "t0", "t1", "t2"), ["t0", "t1", "t2"], "name").select(*_TEXT, "i", "name")
+    ranked = materialize(triples.join(named, [*_TEXT, "i"], "left"))
     again = ranked.select("*", ahead("name", 1).alias("n1"), ahead("name", 2).alias("n2"), ahead("name", 3).alias("n3"), ahead("name", 6).alias("n6"))
 
     # prefixes that stand side by side in the sorted order: names themselves within the sample; one
@@ -158,7 +161,7 @@ def difference_cover_spans(hits: DataFrame, s: Spans) -> DataFrame:
             whole = whole & (F.col(f"g{k}") > 0)
         cells = [F.coalesce(c.cast("bigint"), F.lit(0)) for c in columns]
         cells += [F.lit(0).cast("bigint")] * (3 - len(cells))
-        return again.where(whole).select("text_hash", F.lit(kind).alias("kind"), *(c.alias(f"k{j}") for j, c in enumerate(cells)), F.col("at").alias("begin"), end.alias("end"))
+        return again.where(whole).select(*_TEXT, F.lit(kind).alias("kind"), *(c.alias(f"k{j}") for j, c in enumerate(cells)), F.col("at").alias("begin"), end.alias("end"))
 
     c = F.col
     prefixes = (
@@ -170,11 +173,11 @@ def difference_cover_spans(hits: DataFrame, s: Spans) -> DataFrame:
     prefixes = materialize(prefixes.where(c("end") - c("begin") >= s.length))
     keys = ["kind", "k0", "k1", "k2"]
     repeated = prefixes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = prefixes.join(repeated, keys, "left_semi").groupBy("text_hash", "begin").agg(F.max("end").alias("end"))
+    shared = prefixes.join(repeated, keys, "left_semi").groupBy(*_TEXT, "begin").agg(F.max("end").alias("end"))
     # a copied text is repeated as a whole
     owners = hits.select(*_KEY).distinct()
-    whole = owners.join(copies.where("n > 1").select("text_hash"), "text_hash").select(*_KEY, F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))
-    return owners.join(shared, "text_hash").select(*_KEY, "begin", "end").union(whole)
+    whole = owners.join(copies.where("n > 1").select(*_TEXT), _TEXT).select(*_KEY, F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))
+    return owners.join(shared, _TEXT).select(*_KEY, "begin", "end").union(whole)
 
 
 def _uncovered(hits: DataFrame, spans: DataFrame, s: Spans) -> DataFrame:
@@ -193,8 +196,9 @@ def window_matches(texts: DataFrame, hits: DataFrame, rest: DataFrame, s: Spans)
     Only blocks whose core a block of `rest` has are compared, each distinct context once, by the
     hash of every window. A context that occurs twice is repeated throughout.
     """
-    contexts = hits.join(rest.select("core").distinct(), "core", "left_semi").groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start", "starts", "at")).alias("first"))
-    contexts = materialize(contexts.select("core", "context", "n", "first.*"))
+    # equal contexts become one before their cores meet, so that a core of many copies is not one task's
+    contexts = hits.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start", "starts", "at")).alias("first"))
+    contexts = materialize(contexts.select("core", "context", "n", "first.*").join(rest.select("core").distinct(), "core", "left_semi"))
     several = contexts.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
     wanted = contexts.join(several, "core", "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("core", "context", "start", "starts", "at")).alias("blocks"))
 
@@ -214,24 +218,25 @@ def window_matches(texts: DataFrame, hits: DataFrame, rest: DataFrame, s: Spans)
                     owner = np.repeat(o, starts[o])
                     windows = hashed(begins - base, begins - base + s.length) + (at[owner] - begins).astype(np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(context[owner]), pa.array((begins - start[owner]).astype(np.int32)), pa.array(mix(windows ^ mix(core[owner].view(np.uint64))).view(np.int64))],
-                        ["context", "shift", "window"],
+                        [pa.array(core[owner]), pa.array(context[owner]), pa.array((begins - start[owner]).astype(np.int32)), pa.array(mix(windows).view(np.int64))],
+                        ["core", "context", "shift", "window"],
                     )
 
-    each = packed(texts.select(*_KEY, "text")).join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "context bigint, shift int, window bigint")
+    each = packed(texts.select(*_KEY, "text")).join(wanted.hint("shuffle_hash"), _KEY).select("text", "blocks").mapInArrow(windows, "core bigint, context bigint, shift int, window bigint")
     each = materialize(each)
     # rows that repeat a text make the same windows twice: only different places count
     place = F.struct("context", "shift")
-    twice = each.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
-    partial = each.join(twice, "window", "left_semi").groupBy("context").agg(F.collect_set("shift").alias("shifts"))
-    single = rest.join(contexts.where("n = 1").select("core", "context"), ["core", "context"], "left_semi").join(partial, "context")
+    # windows are compared within a core only: two hashes have to clash for a byte to go wrongly
+    twice = each.groupBy("core", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("core", "window")
+    partial = each.join(twice, ["core", "window"], "left_semi").groupBy("core", "context").agg(F.collect_set("shift").alias("shifts"))
+    single = rest.join(contexts.where("n = 1").select("core", "context"), ["core", "context"], "left_semi").join(partial, ["core", "context"])
     single = single.select(*_KEY, F.explode("shifts").alias("shift"), "start").select(*_KEY, (F.col("start") + F.col("shift")).alias("begin"), (F.col("start") + F.col("shift") + s.length).alias("end"))
     multiple = rest.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi")
     return single.union(multiple.select(*_KEY, F.col("start").alias("begin"), (F.col("start") + F.col("starts") - 1 + s.length).alias("end")))
 
 
 def repeated_spans(texts: DataFrame, s: Spans) -> DataFrame:
-    """All spans of keyed texts that lie in a repeat: key, text_hash, begin, end."""
+    """All spans of keyed texts that lie in a repeat: key, text_hash, text_size, begin, end."""
     blocks = block_rows(texts, s)
     twice = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     hits = materialize(blocks.join(twice, "core", "left_semi"))
