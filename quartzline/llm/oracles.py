@@ -149,4 +149,40 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counted
 """
 
-SQL = {"op2_minhash_dedup": _NEAR, "op9_repeated_spans": _REPEATS, "op10_line_cleaning": _LINES, "op13_merkle_manifest": _MERKLE}
+# The rules of the scan: prefix, secret, what follows it, least characters of the secret.
+_SECRETS = {
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?""", "[A-Za-z0-9+/_.=-]+", "", 6),
+    "access": ("", "AKIA[A-Z0-9]+", "", 20),
+    "hex": ("", "[0-9a-f]+", "", 24),
+    "private_key": ("", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "", 1),
+    "web_token": ("", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "", 1),
+    "bearer": (r"[Bb]earer\x20+", "[A-Za-z0-9+/_.=-]{16,}", "", 1),
+    "url_login": (r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:", "[^\\s/:@]{3,64}", "@", 1),
+}
+_MARKED = " UNION ALL ".join(
+    rf"SELECT doc_id, {place} AS place, '{kind}' AS kind, {least} AS least, "
+    rf"string_split(regexp_replace(t, '({prefix})({secret}){after}', chr(57344) || '\1' || chr(57345) || '\2' || chr(57346) || '{after}', 'g'), chr(57344)) AS pieces FROM texts"
+    for place, (kind, (prefix, secret, after, least)) in enumerate(_SECRETS.items())
+)
+_LEDGER = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS raw, translate(coalesce(text, ''), chr(57344) || chr(57345) || chr(57346), repeat(chr(65533), 3)) AS t FROM documents),
+marked AS ({_MARKED}),
+each AS (SELECT doc_id, place, kind, least, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM marked WHERE len(pieces) > 1),
+sized AS (
+    SELECT *, instr(piece, chr(57345)) AS mid, instr(piece, chr(57346)) AS last,
+           sum(length(piece) - CASE WHEN contains(piece, chr(57346)) THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id, place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start
+    FROM each
+),
+found AS (SELECT doc_id, place, kind, start::BIGINT AS start, (start + last - 2)::BIGINT AS finish FROM sized WHERE i > 1 AND last - mid - 1 >= least),
+listed AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+           string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, place) AS spans
+    FROM found GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(raw) AS blob
+FROM texts LEFT JOIN listed USING (doc_id)
+"""
+
+SQL = {"op2_minhash_dedup": _NEAR, "op6_blob_ledger": _LEDGER, "op9_repeated_spans": _REPEATS, "op10_line_cleaning": _LINES, "op13_merkle_manifest": _MERKLE}
