@@ -447,11 +447,12 @@ def test_account_and_card_numbers(spark):
     assert got[99].n == 2 and "3782" not in got[99].text and "4111" not in got[99].text
 
 
-def test_raking_meets_the_margins(spark):
+@pytest.mark.parametrize("local", [0, raking.LOCAL_CELLS])
+def test_raking_meets_the_margins(spark, local):
     rng = random.Random(3)
     cells = [(s, g, t, rng.randrange(1, 1000)) for s in "abcde" for g in ("x", "y") for t in "123"]
     mix = raking.Mix()
-    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix).collect()
+    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix, local).collect()
     total = sum(c[3] for c in cells)
     assert {r.gap for r in got} and max(r.gap for r in got) < 1e-4
     for d, e in mix.exponents.items():
@@ -464,11 +465,12 @@ def test_raking_meets_the_margins(spark):
             assert weight[v] == pytest.approx(raw[v] / sum(raw.values()) * total, rel=1e-4)
 
 
-def test_raking_against_plain_loops(spark):
+@pytest.mark.parametrize("local", [0, raking.LOCAL_CELLS])
+def test_raking_against_plain_loops(spark, local):
     """Set shares, and margins that contradict each other: the gap that is left is told."""
     cells = [("a", "x", "1", 100), ("a", "y", "2", 300), ("b", "x", "2", 50), ("c", "y", "1", 70), ("c", "x", "1", 20)]
     mix = raking.Mix(exponents={"source": 0.0, "lang": 1.0, "topic": 0.5}, shares={"lang": {"x": 0.7, "y": 0.3}}, sweeps=25)
-    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix).collect()
+    got = raking.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), mix, local).collect()
     weight, total = {c[:3]: float(c[3]) for c in cells}, sum(c[3] for c in cells)
     targets = []
     for i, name in enumerate(("source", "lang", "topic")):
