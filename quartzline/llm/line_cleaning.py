@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quartzline.llm.common import SEPARATOR_CLASS, unused
 
-#: Phrases of site furniture and licence text; fixed values.
+#: Phrases of site furniture and licence text in four languages; fixed values.
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -25,6 +25,30 @@ BOILERPLATE = (
     "sign up",
     "read more",
     "share this",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "verwendet cookies",
+    "hier klicken",
+    "weiterlesen",
+    "impressum",
+    "lizenziert unter",
+    "tous droits réservés",
+    "conditions générales",
+    "politique de confidentialité",
+    "utilise des cookies",
+    "cliquez ici",
+    "lire la suite",
+    "se connecter",
+    "sous licence",
+    "todos los derechos reservados",
+    "términos de uso",
+    "política de privacidad",
+    "utiliza cookies",
+    "haga clic aquí",
+    "leer más",
+    "iniciar sesión",
+    "bajo la licencia",
 )
 #: Marks that separate the entries of a navigation bar.
 NAVIGATION_MARKS = "|»«›‹•·"

@@ -235,6 +235,13 @@ def test_language_report(spark, docs):
     assert und == {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
 
 
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten, auch die der Übersetzung in andere Sprachen.", "Ce site utilise des cookies pour son bon fonctionnement.", "Lea nuestra Política de Privacidad antes de seguir.", "By using this page you accept our Terms of Use."])
+def test_boilerplate_in_four_languages(spark, line):
+    prose = "A plain sentence of a good number of words stands here, and it ends well."
+    got = line_cleaning.clean_lines(spark.createDataFrame([(1, f"{prose}\n{line}\nAnother sentence of some words comes after it, and ends.")], "doc_id long, text string")).first()
+    assert got.clean_text == f"{prose}\nAnother sentence of some words comes after it, and ends." and got.lines_failed == 1
+
+
 def test_letters_of_all_planes(spark):
     texts = ["😀😀", "🙂 12", "𝟘𝟙", "𐌰𐌱𐌲", "𝐀", "x", "٣", "ª", "ʰ", "\u0345", "中"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, f"plain words {i}") for i in range(20)], "doc_id long, text string").withColumn("lang", F.lit("en"))
