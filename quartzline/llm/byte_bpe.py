@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzline.llm.common import kept, lean
+
 _MAX_STATES = 600_000
 _CACHE_PIECES = 300_000
 _CACHED_BYTES = 64
 _AT_ONCE = 1 << 16
 _NONE = 1 << 62
 _FEW = 4
-_encodings: dict[tuple[str, str], Encoding] = {}
+_encodings: dict[tuple[str, str], Encoding] = kept.setdefault("byte_bpe", {})
 
 Path = tuple[int, ...]
 
@@ -322,6 +324,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, output: str =
     names = ["doc_id", "n_tokens", *(("ids", "decoded") if tokens else ("ids_sha256", "decoded_sha256"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("byte_bpe")
         use = encoding(path, pattern)
         for batch in batches:
             count, first, second = [], [], []

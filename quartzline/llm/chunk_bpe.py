@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import materialize, packed, unpacker
+from quartzline.llm.common import kept, lean, materialize, packed, unpacker
 
 _MIN_CHUNK = 64
 _CACHE_WORDS = 100_000
 _PUNCTUATION = ".,;:!?-()\"#*$%&|"
 _SPACE = b" \t\n\r\x0b\x0c"
-_coders: dict[str, Coder] = {}
+_coders: dict[str, Coder] = kept.setdefault("chunk_bpe", {})
 
 
 class Coder:
@@ -227,6 +227,7 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
     texts = _keyed(docs)
 
     def name_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             key, hashed, seq, name = [], [], [], []
             for k, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -245,6 +246,7 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
     owned = shared.select("first.key", "first.text_hash", F.struct("first.seq", "name").alias("chunk")).groupBy(*_KEY).agg(F.collect_list("chunk").alias("chunks"))
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("chunk_bpe")
         use, unpack = coder(path), unpacker()
         for batch in batches:
             names, ids, done = [], [], set()
@@ -271,6 +273,7 @@ def encode_documents(docs: DataFrame, path: str, *, bits: int = 10, output: str
     tokens = output == "tokens"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("chunk_bpe")
         use, unpack = coder(path), unpacker()
         for batch in batches:
             count, a, b = [], [], []

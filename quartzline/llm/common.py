@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +30,22 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: What operators keep in a worker between tasks, by a name for each.
+kept: dict[str, dict] = {}
+
+
+def lean(keep: str = "") -> None:
+    """Frees what other operators than `keep` have left in this worker, which Spark reuses for the next one's tasks."""
+    held = [cache for name, cache in kept.items() if name != keep and cache]
+    for cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 

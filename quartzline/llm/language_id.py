@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import text_slices
+from quartzline.llm.common import lean, text_slices
 
 UNKNOWN = "und"
 #: A known language takes so much less than 99 % of its labelled rows have.
@@ -198,6 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, batch_rows: int = 256
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         judge = Judge(model)
         for batch in batches:
             for rows, names, scores, _ in _judged(batch, judge, batch_rows):
@@ -214,6 +215,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, batch_rows: int = 256) ->
     whole = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c in ("text", "lang") else F.col(f"`{c}`") for c in docs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         judge = Judge(model)
         for batch in batches:
             for rows, names, _, known in _judged(batch, judge, batch_rows):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import materialize, mix, shingle_hashes, text_slices, word_hashes
+from quartzline.llm.common import lean, materialize, mix, shingle_hashes, text_slices, word_hashes
 from quartzline.llm.components import components
 
 
@@ -87,6 +87,7 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set (set_a, set_b) and its signature, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         a, b = _coefficients(s.places)
         for batch in batches:
             for part, data, offsets in text_slices(batch):
@@ -173,18 +174,15 @@ def prefix_pairs(members: DataFrame, whole: DataFrame, s: Settings) -> DataFrame
     asked = F.expr(f"cast(greatest(n - ({t} * n + {d - 1}) div {d} + 1 - (n - size(held)), 0) as int)")
     first = known.select("node", "label", "n", own.alias("own"), F.size("held").alias("m"), F.posexplode(F.slice("held", F.lit(1), asked)).alias("pos", "x"))
     first = materialize(first.select("node", "label", "n", F.col("x.h").alias("h"), (F.col("pos") < F.col("own")).alias("own"), (F.col("m") - F.col("pos")).alias("left")))
-    # members of one label meet nowhere: labels are paired first, then each side joins its own label
-    labels = first.groupBy("h", "label").agg(F.max("own").alias("own"))
-    several = labels.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-    labels = labels.join(several, "h")
-    facing = labels.where("own").select("h", F.col("label").alias("label_a")).join(labels.select("h", F.col("label").alias("label_b")), "h").where("label_a <> label_b")
+    # only shingles that members of several labels have can pair any
+    several = first.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    first = first.join(several, "h")
     small = first.where("own").select("h", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
     large = first.select("h", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     enough = F.least("left_a", "left_b") * (t + d) >= (F.col("n_a") + F.col("n_b")) * t
-    fits = order & (F.col("n_a") * d >= F.col("n_b") * t) & enough
-    met = small.join(facing, ["h", "label_a"]).join(large, ["h", "label_b"])
-    return met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = order & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * d >= F.col("n_b") * t) & enough
+    return small.join(large, "h").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings, whole: DataFrame | None = None) -> DataFrame:
