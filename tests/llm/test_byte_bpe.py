@@ -37,7 +37,7 @@ def test_random_texts(use, library):
         text = "".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randrange(200)))
         ids = ids_of(use, text)
         assert ids.tolist() == library.encode_ordinary(text), text
-        assert use.transducer(text.encode()) == library._core_bpe.encode_single_piece(text.encode()) or text.encode() in use.ranks
+        assert not text or use.transducer(text.encode()) == library._core_bpe.encode_single_piece(text.encode())
 
 
 def test_every_token_is_reached(use):
