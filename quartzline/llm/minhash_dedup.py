@@ -265,7 +265,7 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     rest = materialize(_unsettled(members.select("node", "bucket"), components(edges)))
     whole = shingle_rows(texts, nodes.join(rest, "node").select(*_PLACE), s)
     pairs = materialize(prefix_pairs(rest, whole, s).join(tried, ["a", "b"], "left_anti"))
-    edges = edges.union(verified(pairs, nodes, texts, s, whole)).union(_same_document(named, classes))
+    edges = edges.union(verified(pairs, nodes, texts, s, whole)).union(materialize(_same_document(named, classes)))
     labels = components(edges)
 
     joined = classes.join(labels, "node", "left").select("set_a", "set_b", "doc_id", F.coalesce("component", "node").alias("label"))
