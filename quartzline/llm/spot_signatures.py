@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import RangeHash, lower, mix
+from quartzline.llm.common import RangeHash, lower, materialize, mix, packed, text_slices, unpacker
+from quartzline.llm.components import components
+from quartzline.llm.minhash_dedup import set_name
 
 #: Common words of four languages; fixed values.
 COMMON = (
@@ -32,6 +34,11 @@ class Spots:
 
     anchors: tuple[str, ...] = tuple(sorted(set(COMMON)))
     chain: int = 2
+    #: Two sets are near from this Jaccard on, numerator / denominator.
+    numerator: int = 4
+    denominator: int = 5
+    #: Signatures are counted by so many of their bits, to tell the rare ones; a matter of speed, not of results.
+    counted_bits: int = 18
 
 
 _anchor_hashes: dict[tuple[str, ...], np.ndarray] = {}
@@ -147,17 +154,169 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.withColumn("likeness", likeness("fingerprint_a", "fingerprint_b")).where(F.col("likeness") >= threshold)
 
 
+def _named_sets(docs: DataFrame, spots: Spots) -> DataFrame:
+    """doc_id, n, a 128-bit name of the signature set (set_a, set_b) and its signatures as bytes, for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in text_slices(batch):
+                found = [signatures(t.as_py(), spots) for t in part.column(1)]
+                names = [set_name(mix(f.astype(np.uint64))) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(f) for f in found], pa.int64()),
+                        pa.array([a for a, _ in names], pa.int64()),
+                        pa.array([b for _, b in names], pa.int64()),
+                        pa.array([f.tobytes() for f in found], pa.binary()),
+                    ],
+                    ["doc_id", "n", "set_a", "set_b", "signatures"],
+                )
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, signatures binary")
+
+
+def _ranks(sets: DataFrame, bits: int) -> np.ndarray:
+    """The place of each of the 2**bits groups of signatures in the order of their frequency.
+
+    Only one count for each group comes to the driver, whatever the number of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) >> np.uint32(32 - bits)
+            total += np.bincount(found, minlength=1 << bits)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["g", "c"])
+
+    counts = np.zeros(1 << bits, np.float64)
+    found = sets.select("signatures").mapInArrow(run, "g int, c bigint").groupBy("g").agg(F.sum("c").alias("c")).toArrow()
+    counts[found.column("g").to_numpy()] = found.column("c").to_numpy()
+    ranks = np.empty(1 << bits, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << bits, dtype=np.uint64)
+    return ranks
+
+
+def _prefixes(sets: DataFrame, ranks: np.ndarray, spots: Spots) -> DataFrame:
+    """signature, row, set_a, n and own for the signatures of each set that a near set must share one of.
+
+    Near sets share t of the larger one and 2t/(1 + t) of the smaller, so they share one of the first
+    n - ceil(t n) + 1 of the larger and of the first n - ceil(2t/(1 + t) n) + 1 of the smaller (`own`),
+    in any order that holds for all sets; here rare groups of signatures come first.
+    """
+    shift = np.uint32(32 - spots.counted_bits)
+    t, d = spots.numerator, spots.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                taken, lengths, owned = [], [], []
+                for raw in some.column(3):
+                    found = np.frombuffer(raw.as_buffer(), np.uint32)
+                    n = len(found)
+                    order = np.argsort(ranks[found >> shift] << np.uint64(32) | found)
+                    first = found[order[: n - -(-t * n // d) + 1]]
+                    taken.append(first)
+                    lengths.append(len(first))
+                    owned.append(np.arange(len(first)) < n - -(-2 * t * n // (t + d)) + 1)
+                repeats = np.array(lengths, np.int64)
+                columns = [np.repeat(some.column(i).to_numpy(zero_copy_only=False), repeats) for i in range(3)]
+                if len(taken):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(taken).view(np.int32)), *(pa.array(c) for c in columns), pa.array(np.concatenate(owned))], ["signature", "row", "set_a", "n", "own"]
+                    )
+
+    return sets.select("row", "set_a", "n", "signatures").mapInArrow(run, "signature int, row bigint, set_a bigint, n bigint, own boolean")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, spots: Spots) -> DataFrame:
+    """Of pairs (a, b) of rows of `sets`, those with a Jaccard at the threshold or above, compared in full."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    whole = materialize(sets.select("row", "signatures").join(asked, "row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                u, v = (np.frombuffer(z.as_buffer(), np.uint32) for z in (x, y))
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                if shared * spots.denominator >= spots.numerator * (len(u) + len(v) - shared):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    left = whole.select(F.col("row").alias("a"), F.col("signatures").alias("x"))
+    right = whole.select(F.col("row").alias("b"), F.col("signatures").alias("y"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+
+
+def _classed(docs: DataFrame, spots: Spots) -> DataFrame:
+    """doc_id, n, set_a, set_b and class_id of each row with signatures: see `near_classes`."""
+    t, d = spots.numerator, spots.denominator
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sets = materialize(_named_sets(texts, spots).where("n > 0").withColumn("row", F.monotonically_increasing_id()))
+    classes = materialize(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
+
+    index = _prefixes(sets, _ranks(sets, spots.counted_bits), spots)
+    # a signature that only copies of one text have pairs nothing
+    several = index.groupBy("signature").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low < high").select("signature")
+    length = F.floor(F.log("n") / F.log(F.lit(d / t)) + 1e-9).cast("int")
+    live = index.select("signature", "row", "n", "own").join(several, "signature").join(classes.select("row"), "row", "left_semi")
+    live = materialize(live.withColumn("part", length))
+
+    # all sets are compared with the one that has most company among those with their signature, in their range of lengths and the next
+    central = live.groupBy("row").agg(F.count("*").alias("c"))
+    pivots = live.join(central, "row").groupBy("signature", "part").agg(F.min(F.struct(-F.col("c"), "row", "n")).alias("p")).select("signature", "part", F.col("p.row").alias("pivot"), F.col("p.n").alias("m"))
+    both = F.explode(F.array("part", F.col("part") + 1)).alias("part")
+    fits = (F.col("row") != F.col("pivot")) & (F.least("n", "m") * d >= F.greatest("n", "m") * t)
+    asked = live.select("signature", "row", "n", both).join(pivots, ["signature", "part"]).where(fits)
+    tried = materialize(asked.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct())
+    edges = _near(tried, sets, spots)
+
+    # then each with those of other classes that it shares one of the rarest signatures with
+    known = live.join(components(edges).withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
+    mixed = known.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature")
+    rest = materialize(known.join(mixed, "signature"))
+    small = rest.where("own").select("signature", both, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    large = rest.select("signature", "part", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    fits = order & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * d >= F.col("n_b") * t)
+    pairs = small.join(large, ["signature", "part"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+    labels = components(edges.union(_near(pairs, sets, spots))).withColumnRenamed("node", "row")
+
+    joined = classes.join(labels, "row", "left").select("set_a", "set_b", "doc_id", F.coalesce("component", "row").alias("label"))
+    least = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = joined.join(least, "label").select("set_a", "set_b", "class_id")
+    return sets.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b"])
+
+
+def near_classes(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
+    """doc_id and class_id of each row of docs (doc_id, text) whose text is not empty.
+
+    Texts are linked if the Jaccard of their signature sets reaches the threshold; a class is what
+    links join, and its id the smallest doc_id in it, null if it has none. Equal sets are one, so
+    copies cost nothing further. Sets meet only by a signature that near sets must share, in ranges
+    of lengths that grow by 1 / threshold; those that are already in one class are not paired again,
+    so a large group of near copies is not multiplied out. No candidate is dropped.
+    """
+    return _classed(docs, spots or Spots()).select("doc_id", "class_id")
+
+
 def successors_report(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
     """Fingerprints of each text (null: empty) and of its edit, which ends like the next text begins.
 
-    In ascending order of doc_id (nulls first, then text), the last floor(n_chars / 4) code points
+    In ascending order of doc_id (nulls first, then a hash of the text), the last floor(n_chars / 4) code points
     of a text give way to the first as many, or all, of the next; the last document is followed by
     the first. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next and n_signatures; one row out for each row in.
+    near_next, n_signatures and class_id, the smallest doc_id among the texts near it (`near_classes`),
+    itself included; a text without signatures is near no other. One row out for each row in.
 
     Texts are dealt once, by ranges of doc_id taken from quantiles; the first document of a range
     goes to the range before it too, so each task finds the successor of its last one. Only the
-    ranges' borders and first ids, one of each for a partition, come to the driver.
+    ranges' borders and first ids, one of each for a partition, come to the driver. Of classes only
+    the rows that another one gives its id are dealt, and reach the task ahead of their texts.
     """
     spots = spots or Spots()
     spark = docs.sparkSession
@@ -186,26 +345,41 @@ def successors_report(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
         # negative: a guest, there only as a successor
         return pd.Series([[int(p)] if starts[a] != k else [int(p), -1 - int(targets[a])] for k, p, a in zip(keys.tolist(), own.tolist(), at.tolist(), strict=True)])
 
-    dealt = texts.select("doc_id", "text", F.explode(dealt_to(order)).alias("to"))
-    dealt = dealt.select("doc_id", "text", (F.col("to") < 0).alias("guest"), F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"))
-    # a range's guest follows all its own, also where it is the very first document
-    rows = dealt.repartitionById(max(parts, len(borders) + 1), "part").sortWithinPartitions("guest", F.col("doc_id").asc_nulls_first(), "text")
+    none = F.lit(None).cast("bigint")
+    dealt = packed(texts.withColumn("h", F.xxhash64("text"))).select("doc_id", "text", "h", F.explode(dealt_to(order)).alias("to"))
+    dealt = dealt.select(
+        "doc_id", "text", "h", (F.col("to") < 0).alias("guest"), F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"),
+        none.alias("set_a"), none.alias("set_b"), none.alias("class_id"),
+    )
+    classed = _classed(docs, spots).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "set_a", "set_b", "class_id").distinct()
+    classed = classed.select("doc_id", F.lit(None).cast("binary").alias("text"), none.alias("h"), F.lit(False).alias("guest"), range_of(order).alias("part"), "set_a", "set_b", "class_id")
+    # a range's guest follows all its own, also where it is the very first document; classes come before texts
+    rows = dealt.unionByName(classed).repartitionById(max(parts, len(borders) + 1), "part")
+    rows = rows.sortWithinPartitions("guest", F.col("doc_id").asc_nulls_first(), F.col("text").isNotNull(), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        unpack, held = unpacker(), None
+        owner, given = None, {}
         for batch in batches:
             out = []
-            for doc, text, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = text.as_py()
-                now = None if held is not None and held[2] else (doc, text, guest, signatures(text, spots))
-                if now is None:  # further rows of the guest's doc_id
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "guest", "set_a", "set_b", "class_id")]
+            for doc, guest, a, b, class_id, text in zip(*columns, batch.column(1), strict=True):
+                if not text.is_valid:
+                    if owner != (doc,):
+                        owner, given = (doc,), {}
+                    given[a, b] = class_id
+                    continue
+                if held is not None and held[2]:  # further rows of the guest's doc_id
                     continue
+                text = unpack(text).decode()
+                found = signatures(text, spots)
+                near = given.get(set_name(mix(found.astype(np.uint64))), doc) if owner == (doc,) and len(found) else doc
                 if held is not None:
-                    out.append(edited(*held, now[1], now[3]))
-                held = now
+                    out.append(edited(*held, text, found))
+                held = (doc, text, guest, found, near)
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    def edited(doc, text, guest, found, next_text, next_found):
+    def edited(doc, text, guest, found, near, next_text, next_found):
         n = len(text)
         cut = n // 4
         new = text[: n - cut] + next_text[:cut]
@@ -219,9 +393,10 @@ def successors_report(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
             "near_edited": jaccard(found, found_new),
             "near_next": jaccard(found, next_found),
             "n_signatures": len(found),
+            "class_id": near,
         }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])
-    return rows.select("doc_id", "text", "guest").mapInArrow(
-        run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures bigint"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64()), ("class_id", pa.int64())])
+    return rows.select("doc_id", "text", "guest", "set_a", "set_b", "class_id").mapInArrow(
+        run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures bigint, class_id bigint"
     )

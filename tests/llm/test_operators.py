@@ -311,6 +311,49 @@ def test_spot_near_pairs(spark):
     assert {frozenset((r.fingerprint_a, r.fingerprint_b)) for r in spot_signatures.near_pairs(prints).collect()} == expected
 
 
+def spot_classes(rows):
+    """The smallest doc_id reachable by links of 0.8 or more between signature sets, compared one by one."""
+    sets = [(d, frozenset(spot_signatures.signatures(t, spot_signatures.Spots()).tolist())) for d, t in rows]
+    label = {s: s for _, s in sets}
+
+    def root(s):
+        while label[s] != s:
+            s = label[s]
+        return s
+
+    keys = [s for s in label if s]
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if 10 * len(a & b) >= 8 * len(a | b):
+                label[root(a)] = root(b)
+    least = {}
+    for d, s in sets:
+        if d is not None:
+            least[root(s)] = min(d, least.get(root(s), d))
+    return sorted(((d, least.get(root(s)) if s else d) for d, s in sets), key=repr)
+
+
+def test_spot_classes(spark, docs, texts):
+    sample = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rng = random.Random(8)
+    rows, first = list(sample), [t for _, t in sample if t and len(t.split()) > 80][:5]
+    for i in range(120):  # near copies of a few texts, from barely changed to far ones, some twice
+        words = first[0 if i % 2 else i % 5].split()
+        for _ in range(rng.randrange(1, 14)):
+            words[rng.randrange(len(words))] = f"word{rng.randrange(1000)}"
+        rows += [(10**6 - i, " ".join(words))] * (1 + i % 3 // 2)
+    rows += [(-5, first[1]), (None, first[1]), (None, "nobody else says this of that"), (None, None), (7, first[2]), (7, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = spot_classes(rows)
+    assert len({c for _, c in expected}) < len(expected) - 60
+    got = spot_signatures.successors_report(table)
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=repr) == expected
+    some = [(r.doc_id, r.class_id) for r in spot_signatures.near_classes(table).collect()]
+    assert Counter(some) == Counter(expected) - Counter((d, d) for d, t in rows if not t)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(((r.doc_id, r.class_id) for r in spot_signatures.successors_report(docs).collect()), key=repr) == spot_classes(rows)
+
+
 def test_grammar():
     found = toxic_grammar.Matcher(toxic_grammar.Lexicon({"fool": 4.0}, {"idio": 3.0}))
     plain = found.features("what a fool")[0]
