@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzline.llm.common import RangeHash, lower, materialize, mix, packed, text_slices, unpacker
@@ -155,7 +155,7 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def _named_sets(docs: DataFrame, spots: Spots) -> DataFrame:
-    """doc_id, n, a 128-bit name of the signature set (set_a, set_b) and its signatures as bytes, for each row."""
+    """doc_id, n, a 128-bit name of the signature set (set_a, set_b), its signatures as bytes and their `parity`, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +169,12 @@ def _named_sets(docs: DataFrame, spots: Spots) -> DataFrame:
                         pa.array([a for a, _ in names], pa.int64()),
                         pa.array([b for _, b in names], pa.int64()),
                         pa.array([f.tobytes() for f in found], pa.binary()),
+                        pa.array([parity(f) for f in found], pa.binary()),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "signatures"],
+                    ["doc_id", "n", "set_a", "set_b", "signatures", "parity"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, signatures binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_a bigint, set_b bigint, signatures binary, parity binary")
 
 
 def _ranks(sets: DataFrame, bits: int) -> np.ndarray:
@@ -199,11 +200,12 @@ def _ranks(sets: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, ranks: np.ndarray, spots: Spots) -> DataFrame:
-    """signature, row, set_a, n and own for the signatures of each set that a near set must share one of.
+    """signature, row, set_a, n and left for the signatures of each set that a near set must share one of.
 
-    Near sets share t of the larger one and 2t/(1 + t) of the smaller, so they share one of the first
-    n - ceil(t n) + 1 of the larger and of the first n - ceil(2t/(1 + t) n) + 1 of the smaller (`own`),
-    in any order that holds for all sets; here rare groups of signatures come first.
+    Near sets share t of the larger one, so one of the first n - ceil(t n) + 1 of each, in any order
+    that holds for all sets; here rare groups of signatures come first. `left` is the number of
+    signatures from there on: from the first that two near sets share, both have at least as many
+    left as they must share.
     """
     shift = np.uint32(32 - spots.counted_bits)
     t, d = spots.numerator, spots.denominator
@@ -212,7 +214,7 @@ def _prefixes(sets: DataFrame, ranks: np.ndarray, spots: Spots) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                taken, lengths, owned = [], [], []
+                taken, lengths, left = [], [], []
                 for raw in some.column(3):
                     found = np.frombuffer(raw.as_buffer(), np.uint32)
                     n = len(found)
@@ -220,19 +222,48 @@ def _prefixes(sets: DataFrame, ranks: np.ndarray, spots: Spots) -> DataFrame:
                     first = found[order[: n - -(-t * n // d) + 1]]
                     taken.append(first)
                     lengths.append(len(first))
-                    owned.append(np.arange(len(first)) < n - -(-2 * t * n // (t + d)) + 1)
+                    left.append(n - np.arange(len(first)))
                 repeats = np.array(lengths, np.int64)
                 columns = [np.repeat(some.column(i).to_numpy(zero_copy_only=False), repeats) for i in range(3)]
+                columns[2] = columns[2].astype(np.int32)
                 if len(taken):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(taken).view(np.int32)), *(pa.array(c) for c in columns), pa.array(np.concatenate(owned))], ["signature", "row", "set_a", "n", "own"]
+                        [pa.array(np.concatenate(taken).view(np.int32)), *(pa.array(c) for c in columns), pa.array(np.concatenate(left).astype(np.int32))], ["signature", "row", "set_a", "n", "left"]
                     )
 
-    return sets.select("row", "set_a", "n", "signatures").mapInArrow(run, "signature int, row bigint, set_a bigint, n bigint, own boolean")
+    return sets.select("row", "set_a", "n", "signatures").mapInArrow(run, "signature int, row bigint, set_a bigint, n int, left int")
+
+
+def parity(found: np.ndarray) -> bytes:
+    """256 bits of a set, each the parity of its signatures with that place.
+
+    Two sets' bits differ in no more places than the sets differ in signatures.
+    """
+    odd = np.bincount(found & np.uint32(255), minlength=256) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 def _near(pairs: DataFrame, sets: DataFrame, spots: Spots) -> DataFrame:
-    """Of pairs (a, b) of rows of `sets`, those with a Jaccard at the threshold or above, compared in full."""
+    """Of pairs (a, b) of rows of `sets`, those with a Jaccard at the threshold or above.
+
+    A pair whose parities differ in more places than near sets of these lengths can differ in
+    signatures is dropped; the others' whole sets are compared.
+    """
+    t, d = spots.numerator, spots.denominator
+    left = sets.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 4) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart * (t + d) <= n * (d - t)))
+
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(prune, "a bigint, b bigint")
+    pairs = materialize(pairs)
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     whole = materialize(sets.select("row", "signatures").join(asked, "row"))
 
@@ -262,15 +293,14 @@ def _classed(docs: DataFrame, spots: Spots) -> DataFrame:
     # a signature that only copies of one text have pairs nothing
     several = index.groupBy("signature").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low < high").select("signature")
     length = F.floor(F.log("n") / F.log(F.lit(d / t)) + 1e-9).cast("int")
-    live = index.select("signature", "row", "n", "own").join(several, "signature").join(classes.select("row"), "row", "left_semi")
-    live = materialize(live.withColumn("part", length))
+    live = index.select("signature", "row", "n", "left").join(several, "signature").join(classes.select("row"), "row", "left_semi")
+    live = materialize(live.withColumn("part", length).withColumn("c", F.count("*").over(Window.partitionBy("row"))))
 
     # all sets are compared with the one that has most company among those with their signature, in their range of lengths and the next
-    central = live.groupBy("row").agg(F.count("*").alias("c"))
-    pivots = live.join(central, "row").groupBy("signature", "part").agg(F.min(F.struct(-F.col("c"), "row", "n")).alias("p")).select("signature", "part", F.col("p.row").alias("pivot"), F.col("p.n").alias("m"))
-    both = F.explode(F.array("part", F.col("part") + 1)).alias("part")
-    fits = (F.col("row") != F.col("pivot")) & (F.least("n", "m") * d >= F.greatest("n", "m") * t)
-    asked = live.select("signature", "row", "n", both).join(pivots, ["signature", "part"]).where(fits)
+    pivots = live.groupBy("signature", "part").agg(F.min(F.struct(-F.col("c"), "row", "n", "left")).alias("p"))
+    pivots = pivots.select("signature", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("p.row").alias("pivot"), F.col("p.n").alias("m"), F.col("p.left").alias("rest"))
+    fits = (F.col("row") != F.col("pivot")) & (F.least("left", "rest") * (t + d) >= (F.col("n") + F.col("m")) * t)
+    asked = live.select("signature", "part", "row", "n", "left").join(pivots, ["signature", "part"]).where(fits)
     tried = materialize(asked.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct())
     edges = _near(tried, sets, spots)
 
@@ -278,10 +308,12 @@ def _classed(docs: DataFrame, spots: Spots) -> DataFrame:
     known = live.join(components(edges).withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row")).drop("component")
     mixed = known.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("signature")
     rest = materialize(known.join(mixed, "signature"))
-    small = rest.where("own").select("signature", both, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    large = rest.select("signature", "part", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    both = F.explode(F.array("part", F.col("part") + 1)).alias("part")
+    small = rest.select("signature", both, F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"))
+    large = rest.select("signature", "part", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("label").alias("label_b"))
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    fits = order & (F.col("label_a") != F.col("label_b")) & (F.col("n_a") * d >= F.col("n_b") * t)
+    enough = F.least("left_a", "left_b") * (t + d) >= (F.col("n_a") + F.col("n_b")) * t
+    fits = order & (F.col("label_a") != F.col("label_b")) & enough
     pairs = small.join(large, ["signature", "part"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
     labels = components(edges.union(_near(pairs, sets, spots))).withColumnRenamed("node", "row")
