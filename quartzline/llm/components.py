@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: every step replaces edges by edges to smaller
     nodes with the same components, and the edges do not grow in number. Groups are only
     aggregated to their minimum and joined back, so a hub's edges never meet in one task beyond
-    Spark's own skew handling. Each round is written to the shared folder.
+    Spark's own skew handling. Each round is written to the shared folder. The joins' sides are dealt
+    alike already, so they are merged: a table broadcast in each of many rounds fills the driver's memory.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
@@ -22,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: the larger neighbours of each node go to the smallest of all its neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: the smaller neighbours of each node, and itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = large.join(least.hint("merge"), "a")
         edges = materialize(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

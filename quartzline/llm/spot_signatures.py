@@ -8,12 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzline.llm.common import RangeHash, lower, materialize, mix, packed, text_slices, unpacker
+from quartzline.llm.common import RangeHash, frames, lean, lower, materialize, mix, text_slices, unpacker
 from quartzline.llm.components import components
 from quartzline.llm.minhash_dedup import set_name
 
@@ -130,13 +129,16 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     |s| - ceil(threshold |s|) + 1 by frequency), and only if their lengths allow it.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["signature"] = [from_string(f).astype(np.int64).tolist() for f in batch["fingerprint"]]
-            yield batch.explode("signature").dropna()[["fingerprint", "n", "signature"]]
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                found = [from_string(f.as_py()).astype(np.int64) for f in some.column(0)]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(np.concatenate(found))], ["fingerprint", "n", "signature"])
 
-    sets = prints.where("n_signatures > 0").groupBy("fingerprint").agg(F.first("n_signatures").alias("n"))
-    listed = sets.mapInPandas(unpack, "fingerprint string, n int, signature bigint")
+    sets = prints.where("n_signatures > 0").groupBy("fingerprint").agg(F.first("n_signatures").cast("int").alias("n"))
+    listed = sets.mapInArrow(unpack, "fingerprint string, n int, signature bigint")
     frequency = listed.groupBy("signature").count()
     ranked = listed.join(frequency, "signature").groupBy("fingerprint", "n").agg(F.sort_array(F.collect_list(F.struct("count", "signature"))).alias("s"))
     length = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
@@ -147,17 +149,19 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & ((F.col("n_a") < F.col("n_b")) | (F.col("fingerprint_a") < F.col("fingerprint_b")))
     pairs = shorter.join(longer, ["part", "signature"]).where(fits).select("fingerprint_a", "fingerprint_b").distinct()
 
-    @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(from_string(x), from_string(y), threshold) for x, y in zip(a, b, strict=True)], dtype=float)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [jaccard(from_string(x.as_py()), from_string(y.as_py()), threshold) for x, y in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["fingerprint_a", "fingerprint_b", "likeness"])
 
-    return pairs.withColumn("likeness", likeness("fingerprint_a", "fingerprint_b")).where(F.col("likeness") >= threshold)
+    return pairs.mapInArrow(compare, "fingerprint_a string, fingerprint_b string, likeness double").where(F.col("likeness") >= threshold)
 
 
 def _named_sets(docs: DataFrame, spots: Spots) -> DataFrame:
     """doc_id, n, a 128-bit name of the signature set (set_a, set_b), its signatures as bytes and their `parity`, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part, _, _ in text_slices(batch):
                 found = [signatures(t.as_py(), spots) for t in part.column(1)]
@@ -184,6 +188,7 @@ def _ranks(sets: DataFrame, bits: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) >> np.uint32(32 - bits)
@@ -211,6 +216,7 @@ def _prefixes(sets: DataFrame, ranks: np.ndarray, spots: Spots) -> DataFrame:
     t, d = spots.numerator, spots.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
@@ -254,6 +260,7 @@ def _near(pairs: DataFrame, sets: DataFrame, spots: Spots) -> DataFrame:
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -268,6 +275,7 @@ def _near(pairs: DataFrame, sets: DataFrame, spots: Spots) -> DataFrame:
     whole = materialize(sets.select("row", "signatures").join(asked, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
@@ -359,41 +367,58 @@ def successors_report(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
     borders = texts.agg(F.percentile_approx(order, shares, 50 * parts).alias("q")).first().q
     borders = np.unique(np.array(borders or [], np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, key.to_numpy(), "right"))
+    def keys_of(ids: pa.Array) -> np.ndarray:
+        return ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+
+    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            keys = np.sort(keys_of(batch.column(0)))
+            found, at = np.unique(np.searchsorted(borders, keys, "right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(keys[at])], ["part", "first"])
 
-    firsts = {r.part: r.first for r in texts.groupBy(range_of(order).alias("part")).agg(F.min(order).alias("first")).collect()}
+    firsts = {r.part: r.first for r in texts.select("doc_id").mapInArrow(first_keys, "part int, first bigint").groupBy("part").agg(F.min("first").alias("first")).collect()}
     filled = sorted(firsts)
     before = {firsts[p]: filled[i - 1] for i, p in enumerate(filled)}
     starts = np.array(sorted(before), np.int64)
     targets = np.array([before[s] for s in starts.tolist()], np.int32)
 
-    @F.pandas_udf("array<int>")
-    def dealt_to(key: pd.Series) -> pd.Series:
-        keys = key.to_numpy()
-        own = np.searchsorted(borders, keys, "right")
-        at = np.minimum(np.searchsorted(starts, keys), len(starts) - 1)
-        # negative: a guest, there only as a successor
-        return pd.Series([[int(p)] if starts[a] != k else [int(p), -1 - int(targets[a])] for k, p, a in zip(keys.tolist(), own.tolist(), at.tolist(), strict=True)])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for some, _, _ in text_slices(batch):
+                keys = keys_of(some.column(0))
+                at = np.minimum(np.searchsorted(starts, keys), len(starts) - 1)
+                # a range's first document is a guest of the range before too, there only as a successor
+                twice = np.flatnonzero(starts[at] == keys)
+                part = np.concatenate([np.searchsorted(borders, keys, "right"), targets[at[twice]]]).astype(np.int32)
+                guest = np.arange(len(part)) >= len(keys)
+                rows = pa.array(np.concatenate([np.arange(len(keys)), twice]))
+                columns = (some.column(0), frames(some.column(1)), some.column(2))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in columns), pa.array(guest), pa.array(part)], ["doc_id", "text", "h", "guest", "part"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            part = np.searchsorted(borders, keys_of(batch.column(0)), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
 
     none = F.lit(None).cast("bigint")
-    dealt = packed(texts.withColumn("h", F.xxhash64("text"))).select("doc_id", "text", "h", F.explode(dealt_to(order)).alias("to"))
-    dealt = dealt.select(
-        "doc_id", "text", "h", (F.col("to") < 0).alias("guest"), F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"),
-        none.alias("set_a"), none.alias("set_b"), none.alias("class_id"),
-    )
+    dealt = texts.withColumn("h", F.xxhash64("text")).mapInArrow(deal, "doc_id bigint, text binary, h bigint, guest boolean, part int")
+    dealt = dealt.select("*", none.alias("set_a"), none.alias("set_b"), none.alias("class_id"))
     classed = _classed(docs, spots).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "set_a", "set_b", "class_id").distinct()
-    classed = classed.select("doc_id", F.lit(None).cast("binary").alias("text"), none.alias("h"), F.lit(False).alias("guest"), range_of(order).alias("part"), "set_a", "set_b", "class_id")
+    classed = classed.mapInArrow(place, "doc_id bigint, set_a bigint, set_b bigint, class_id bigint, part int")
+    classed = classed.select("doc_id", F.lit(None).cast("binary").alias("text"), none.alias("h"), F.lit(False).alias("guest"), "part", "set_a", "set_b", "class_id")
     # a range's guest follows all its own, also where it is the very first document; classes come before texts
     rows = dealt.unionByName(classed).repartitionById(max(parts, len(borders) + 1), "part")
     rows = rows.sortWithinPartitions("guest", F.col("doc_id").asc_nulls_first(), F.col("text").isNotNull(), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         unpack, held = unpacker(), None
         owner, given = None, {}
         for batch in batches:
-            out = []
+            out, chars = [], 0
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "guest", "set_a", "set_b", "class_id")]
             for doc, guest, a, b, class_id, text in zip(*columns, batch.column(1), strict=True):
                 if not text.is_valid:
@@ -408,7 +433,11 @@ def successors_report(docs: DataFrame, spots: Spots | None = None) -> DataFrame:
                 near = given.get(set_name(mix(found.astype(np.uint64))), doc) if owner == (doc,) and len(found) else doc
                 if held is not None:
                     out.append(edited(*held, text, found))
+                    chars += len(held[1])
                 held = (doc, text, guest, found, near)
+                if len(out) == 1000 or chars >= 1 << 20:  # small batches: they are held twice more on their way out
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, chars = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     def edited(doc, text, guest, found, near, next_text, next_found):
