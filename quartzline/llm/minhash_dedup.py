@@ -270,7 +270,8 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     joined = classes.join(labels, "node", "left").select("set_a", "set_b", "doc_id", F.coalesce("component", "node").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    joined = joined.join(least, "label").select("set_a", "set_b", "component_id")
+    # written, so that what the caller does next is not planned together with all of this, again after each exchange
+    joined = materialize(joined.join(least, "label").select("set_a", "set_b", "component_id"))
     known = sets.join(joined, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
     # a text without shingles is linked with nothing, not even with another of its doc_id
     return known.select(
